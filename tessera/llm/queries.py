@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .embedding_dedup import embedding_groups
+from .mixing import mix_documents
 from .packing import pack_documents
 from .quality import quality
 from .simhash import simhash_groups
@@ -37,6 +38,10 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), vocabulary(), 2))
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_documents(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return quality(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*cols)
@@ -46,5 +51,5 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_substring_dedup, op3_best_fit_packing, op4_simhash_near_dedup, op5_token_output, op8_quality_rules, op10_embedding_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_substring_dedup, op3_best_fit_packing, op4_simhash_near_dedup, op5_token_output, op6_source_mixing, op8_quality_rules, op10_embedding_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
