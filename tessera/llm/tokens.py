@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,16 +9,18 @@ import pyarrow.compute as pc
 from .common import worker_state
 
 #: Words with these letters go to the library as they are: there lower case and normal form may depend on neighbours.
-_RARE = re.compile("[İƀ-\U0010ffff]")
+_RARE = r"[^\x{00}-\x{17F}]|\x{130}"
 
 
 class WordEncoder:
-    """Encodes white-space separated words once and keeps their ids; at most `most` words are kept.
+    """Encodes white-space separated words once and keeps their ids; at most about `most` words are kept.
 
-    The tokenizer must drop white space and never join words across it, as word_bpe_49k.json does.
+    The tokenizer must lower-case, drop white space, end each piece of letters with one token in </w>, and never join
+    words across white space, as word_bpe_49k.json does. Words of letters and their form with one . or , behind share
+    an entry; all others are encoded by the library as they stand.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tok, self.most = Tokenizer.from_file(path), most
@@ -30,11 +30,12 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.at, self.base = {}, {}
+        self.plain, self.other = {}, {}
         self.starts, self.lens, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
+        self._keep([0], np.zeros(0, np.uint32))  # entry 0 has no ids
 
-    def _keep(self, lens: np.ndarray, flat: np.ndarray) -> int:
+    def _keep(self, lens, flat: np.ndarray) -> int:
         """Store words' ids; the number of the first of them."""
         k, m = len(lens), len(flat)
         while self.n + k > len(self.starts):
@@ -47,57 +48,47 @@ class WordEncoder:
         self.n, self.used, first = self.n + k, self.used + m, self.n
         return first
 
-    def _plain(self, words: list[str]) -> None:
-        """Encode lower-case words of letters alone: each is one piece, whose last token alone ends a word."""
+    def _learn_plain(self, words: list[str]) -> int:
         lines = [" ".join(words[i : i + 64]) for i in range(0, len(words), 64)]
         ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(lines, add_special_tokens=False)])
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(words):
             raise ValueError("the tokenizer does not end each word with one word-end token")
-        first = self._keep(np.diff(stops, prepend=0), ids)
-        self.base.update(zip(words, range(first, first + len(words)), strict=True))
-
-    def _learn(self, words: list[str]) -> None:
-        plain, tail, other = set(), {}, []
-        for w in words:
-            body = w[:-1] if w[-1:] in (".", ",") else w
-            if body.isalpha() and not _RARE.search(body):
-                low = body.lower()
-                tail[w] = (low, w[len(body) :])
-                if low not in self.base:
-                    plain.add(low)
-            else:
-                other.append(w)
-        if plain:
-            self._plain(list(plain))
-        for mark in ".,":
-            if mark not in self.base:
-                ids = np.array(self.tok.encode(mark, add_special_tokens=False).ids, np.uint32)
-                self.base[mark] = self._keep(np.array([len(ids)]), ids)
-        both = []
-        for w, (low, mark) in tail.items():
-            if mark:
-                both.append((w, self.base[low], self.base[mark]))
-            else:
-                self.at[w] = self.base[low]
-        if both:
-            one, two = np.array([x[1] for x in both]), np.array([x[2] for x in both])
-            order = np.stack([one, two], 1).ravel()
-            ids, _ = self._gather(order)
-            first = self._keep(self.lens[one] + self.lens[two], ids)
-            self.at.update((x[0], first + k) for k, x in enumerate(both))
-        if other:
-            found = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(other, add_special_tokens=False)]
-            first = self._keep(np.array([len(x) for x in found]), np.concatenate(found))
-            self.at.update(zip(other, range(first, first + len(other)), strict=True))
-
-    def _gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of stored words, one after the other, and each word's number of ids."""
-        lens = self.lens[which]
-        ends = np.cumsum(lens)
-        idx = np.repeat(self.starts[which] - (ends - lens), lens)
-        idx += np.arange(len(idx))
-        return self.flat[idx], lens
+        return self._keep(np.diff(stops, prepend=0), ids)
+
+    def _learn_other(self, words: list[str]) -> int:
+        found = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+        return self._keep(np.array([len(x) for x in found]), np.concatenate(found))
+
+    def _find(self, known: dict[str, int], words: list[str], learn) -> np.ndarray:
+        """The entry of each word; unknown ones are learned."""
+        found = list(map(known.get, words))
+        miss = [k for k, x in enumerate(found) if x is None]
+        if miss:
+            new = [words[k] for k in miss]
+            first = learn(new)
+            known.update(zip(new, range(first, first + len(new)), strict=True))
+            for j, k in enumerate(miss):
+                found[k] = first + j
+        return np.array(found, np.int64)
+
+    def _entries(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Two entries for each distinct word: of the word, and of the . or , behind it."""
+        dot, comma = pc.ends_with(words, "."), pc.ends_with(words, ",")
+        body = pc.if_else(pc.or_(dot, comma), pc.utf8_slice_codeunits(words, 0, -1), words)
+        plain = pc.and_not(pc.utf8_is_alpha(body), pc.match_substring_regex(body, _RARE))
+        low = pc.utf8_lower(body.filter(plain)).dictionary_encode()
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        one, two = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        if len(low):
+            one[is_plain] = self._find(self.plain, low.dictionary.to_pylist(), self._learn_plain)[low.indices.to_numpy()]
+        rest = words.filter(pc.invert(plain)).to_pylist()
+        if rest:
+            one[~is_plain] = self._find(self.other, rest, self._learn_other)
+        marks = self._find(self.other, [".", ","], self._learn_other)
+        for k, behind in enumerate((dot, comma)):
+            two[is_plain & behind.to_numpy(zero_copy_only=False)] = marks[k]
+        return one, two
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) and each text's number of them, `end` included; a null text counts as empty.
@@ -110,21 +101,22 @@ class WordEncoder:
         cuts = split.offsets.to_numpy()
         coded = split.values.slice(cuts[0], cuts[-1] - cuts[0]).dictionary_encode()
         cuts = np.asarray(cuts[1:] - cuts[0], np.int64)
-        words = coded.dictionary.to_pylist()
-        at = self.at
-        found = list(map(at.get, words))
-        miss = [k for k, x in enumerate(found) if x is None]
-        if miss:
-            self._learn([words[k] for k in miss])
-            for k in miss:
-                found[k] = at[words[k]]
-        mark = f"\n{end}"
-        if mark not in at:
-            at[mark] = self._keep(np.array([1]), np.array([end], np.uint32))
-        which = np.array(found, np.int64)[coded.indices.to_numpy()] if words else np.zeros(0, np.int64)
-        ids, lens = self._gather(np.insert(which, cuts, at[mark]))
-        ends = np.concatenate([[0], np.cumsum(lens)])
-        return ids, np.diff(ends[cuts + np.arange(1, len(cuts) + 1)], prepend=0)
+        mark = self._find(self.other, [f"\n{end}"], lambda _: self._keep([1], np.array([end], np.uint32)))[0]
+        which = np.zeros((len(coded) + len(cuts), 2), np.int64)
+        closing = cuts + np.arange(len(cuts))
+        which[closing, 0] = mark
+        if len(coded):
+            inside = np.ones(len(which), bool)
+            inside[closing] = False
+            one, two = self._entries(coded.dictionary)
+            at = coded.indices.to_numpy()
+            which[inside, 0], which[inside, 1] = one[at], two[at]
+        which = which.ravel()
+        lens = self.lens[which]
+        ends = np.cumsum(lens)
+        idx = np.repeat(self.starts[which] - (ends - lens), lens)
+        idx += np.arange(len(idx))
+        return self.flat[idx], np.diff(ends[2 * closing + 1], prepend=0)
 
 
 def encoder(path: str) -> WordEncoder:
