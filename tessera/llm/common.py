@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word, for Java's, DuckDB's and Python's regular expressions alike.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -47,7 +48,7 @@ def discard(df: DataFrame) -> None:
     if path:
         jvm = df.sparkSession._jvm
         hpath = jvm.org.apache.hadoop.fs.Path(path)
-        hpath.getFileSystem(df.sparkSession._jsc.hadoopConfiguration() if hasattr(df.sparkSession, "_jsc") else df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+        hpath.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
 def worker_state(key: str, make: Callable):
@@ -92,3 +93,11 @@ def crc(ids: np.ndarray) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def extended(df: DataFrame, **columns: str) -> StructType:
+    """df's schema with further columns (df.schema itself must not be changed)."""
+    out = StructType(list(df.schema.fields))
+    for name, kind in columns.items():
+        out = out.add(name, kind)
+    return out

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import extended, materialize, slices
 from .tokens import encoder
 
 #: Pieces ranked by one task at most, about.
@@ -169,7 +169,7 @@ def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
 
     kept = pieces.columns
     ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "k2", "piece")).cast("long"))
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    schema = extended(pieces, sequence_id="long", offset="long")
     return ranked.mapInArrow(run, schema)
 
 

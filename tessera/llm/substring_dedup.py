@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import extended, materialize, slices
 from .words import gram_hashes, slide_min, word_hashes, words_of
 
 WINDOW, GRAM = 35, 12
@@ -160,7 +160,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hel
     keyed = _keys(docs)
     joined = keyed.join(_spans(keyed, window, gram, held), ["k1", "k2"], "left").drop("k1", "k2")
     names = docs.columns
-    schema = docs.schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
+    schema = extended(docs, n_words="long", n_removed="long", kept_sha256="string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
