@@ -99,7 +99,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, epochs: int = 120, seed: int = 3) ->
         return Model(model.table * 0, model.weights, np.array([0.0, np.log(base / (1 - base))]))
     moments = [np.zeros_like(x) for x in model]
     of_word = np.repeat(np.arange(len(sizes)), sizes)
-    balance = np.where(y > 0, np.sqrt(0.5 / y.mean()), np.sqrt(0.5 / (1 - y.mean())))
+    balance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) ** 0.8
     doc = np.repeat(np.arange(len(y)), n[there])
     for epoch in range(epochs):
         delta = model.weights[:, 1] - model.weights[:, 0]
