@@ -112,10 +112,12 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, rounds: int
 
 
 def repeat_documents(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
-    """docs with each row as often as the mix takes it; a trimmed copy counts if it holds half of the document."""
-    mixed = mix_documents(docs, weights, cap).select(F.col("doc_id").alias("d"), "k2", (F.col("copies") + (2 * F.col("part") >= F.col("size")).cast("long") * (F.col("part") > 0).cast("long")).alias("times"))
-    # repeated rows share their copies evenly: the sum over equal keys is dealt out to the one row that stands for them
-    times = mixed.groupBy("d", "k2").agg(F.sum("times").alias("times"))
-    one = docs.dropDuplicates(["doc_id", "text"])
-    joined = one.join(times, one["doc_id"].eqNullSafe(F.col("d")) & (F.xxhash64(one["text"]) == F.col("k2"))).filter("times > 0")
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("__copy")).drop("__copy")
+    """docs with each row as often as the mix takes it; a trimmed copy counts if it holds half of the document.
+
+    Rows that repeat one another are taken together: the sum of their copies stands for them all.
+    """
+    whole = F.col("copies") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)
+    k1 = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    times = mix_documents(docs, weights, cap).select(k1.alias("k1"), "k2", whole.alias("n")).groupBy("k1", "k2").agg(F.sum("n").alias("times")).filter("times > 0")
+    keyed = docs.withColumns({"k1": k1, "k2": F.xxhash64("text")}).dropDuplicates(["k1", "k2"])
+    return keyed.join(times, ["k1", "k2"]).select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("__copy")).drop("__copy")

@@ -38,14 +38,15 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp holds the fingerprint's 64 bits as a long. Null texts have no words."""
+    """(doc_id, k2, fp): fp holds the fingerprint's 64 bits as a long, k2 a hash of the text. Null texts have no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             fps = np.array([fingerprint(t) if t else 0 for t in b.column("text").cast(pa.binary()).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("k2"), pa.array(fps.view(np.int64))], ["doc_id", "k2", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("k2"), "text")
+    return keyed.mapInArrow(run, "doc_id long, k2 long, fp long")
 
 
 def near_pairs(fps: DataFrame) -> DataFrame:
@@ -64,25 +65,31 @@ def near_pairs(fps: DataFrame) -> DataFrame:
     return chained.filter("a is not null and bit_count(a ^ b) <= 2").select("a", "b").distinct()
 
 
+def _grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, k2, fp, root) for every row: rows of one root are of one component."""
+    marks = materialize(fingerprints(docs), "simhash")
+    distinct = marks.select("fp").distinct()
+    roots = components(near_pairs(distinct)).select(F.col("node").alias("fp"), "root")
+    rooted = materialize(distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
+    return marks.join(rooted, "fp").select("doc_id", "k2", "fp", "root")
+
+
 def simhash_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs.
 
     fingerprint: 16 lowercase hex digits; component_id: the least doc_id reachable through links, itself included.
-    Repeated rows and equal texts share a fingerprint and so a component; null doc_ids never are a component's id
-    unless it has no other. Documents without words share fingerprint zero and are linked like any other.
+    Repeated rows and equal texts share a fingerprint and so a component; a null doc_id is no component's id, so
+    component_id is null where a component has no other. Documents without words share fingerprint zero and are linked
+    like any other. An empty table gives no row.
     """
-    marks = materialize(fingerprints(docs), "simhash")
-    distinct = marks.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(near_pairs(distinct.select("fp"))).select(F.col("node").alias("fp"), "root")
-    rooted = materialize(distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(least, "root").select("fp", "component_id")
-    return marks.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rows = _grouped(docs)
+    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "root").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs without the near copies: of each component the rows of its least doc_id stay, one row if they repeat."""
-    groups = simhash_groups(docs)
-    stay = groups.filter("doc_id <=> component_id").select("doc_id").distinct()
-    one = docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
-    return one.dropDuplicates(["doc_id"])
+    """docs without the near copies: of each component one row of its least doc_id stays (null ids last, ties by hash of the text)."""
+    k1 = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
+    stay = _grouped(docs).groupBy("root").agg(F.min(F.struct(k1.alias("k1"), "k2")).alias("x")).select("x.k1", "x.k2")
+    keyed = docs.withColumns({"k1": k1, "k2": F.xxhash64("text")})
+    return keyed.join(stay, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select(*docs.columns)
