@@ -118,6 +118,6 @@ def repeat_documents(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFr
     """
     whole = F.col("copies") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)
     k1 = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    times = mix_documents(docs, weights, cap).select(k1.alias("k1"), "k2", whole.alias("n")).groupBy("k1", "k2").agg(F.sum("n").alias("times")).filter("times > 0")
-    keyed = docs.withColumns({"k1": k1, "k2": F.xxhash64("text")}).dropDuplicates(["k1", "k2"])
-    return keyed.join(times, ["k1", "k2"]).select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("__copy")).drop("__copy")
+    times = mix_documents(docs, weights, cap).select(k1.alias("__k1"), F.col("k2").alias("__k2"), whole.alias("n")).groupBy("__k1", "__k2").agg(F.sum("n").alias("__times")).filter("__times > 0")
+    keyed = docs.withColumns({"__k1": k1, "__k2": F.xxhash64("text")}).dropDuplicates(["__k1", "__k2"])
+    return keyed.join(times, ["__k1", "__k2"]).select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))).alias("__copy")).drop("__copy")

@@ -90,6 +90,6 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """docs without the near copies: of each component one row of its least doc_id stays (null ids last, ties by hash of the text)."""
     k1 = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
-    stay = _grouped(docs).groupBy("root").agg(F.min(F.struct(k1.alias("k1"), "k2")).alias("x")).select("x.k1", "x.k2")
-    keyed = docs.withColumns({"k1": k1, "k2": F.xxhash64("text")})
-    return keyed.join(stay, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select(*docs.columns)
+    stay = _grouped(docs).groupBy("root").agg(F.min(F.struct(k1.alias("k1"), "k2")).alias("x")).select(F.col("x.k1").alias("__k1"), F.col("x.k2").alias("__k2"))
+    keyed = docs.withColumns({"__k1": k1, "__k2": F.xxhash64("text")})
+    return keyed.join(stay, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).select(*docs.columns)

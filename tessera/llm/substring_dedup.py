@@ -29,8 +29,8 @@ _SPACE = bytes.maketrans(b"\x09\x0a\x0b\x0c\x0d", b"     ")
 
 
 def _keys(docs: DataFrame) -> DataFrame:
-    """docs with k1, k2 (never null), which only repeated rows share but for a collision of one doc_id's text hashes."""
-    return docs.withColumns({"k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "k2": F.hash("text")})
+    """docs with __k1, __k2 (never null), which only repeated rows share but for a collision of one doc_id's text hashes."""
+    return docs.withColumns({"__k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__k2": F.hash("text")})
 
 
 def _runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -56,7 +56,7 @@ def _runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
             which = pa.array(doc[first])
             yield pa.RecordBatch.from_arrays([pa.array(anchors[first].view(np.int64)), b.column("k1").take(which), b.column("k2").take(which), pa.array(place[first].astype(np.int32)), packed], ["anchor", "k1", "k2", "pos", "prints"])
 
-    return docs.select("k1", "k2", "text").mapInArrow(run, "anchor long, k1 long, k2 int, pos int, prints binary")
+    return docs.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), "text").mapInArrow(run, "anchor long, k1 long, k2 int, pos int, prints binary")
 
 
 def _parse(runs: DataFrame, window: int, held: int) -> DataFrame:
@@ -136,7 +136,7 @@ def _parse(runs: DataFrame, window: int, held: int) -> DataFrame:
 
 
 def _spans(docs: DataFrame, window: int, gram: int, held: int) -> DataFrame:
-    """(k1, k2, spans): the duplicate spans of each document that has any, as start and stop words."""
+    """(__k1, __k2, __spans): the duplicate spans of each document that has any, as start and stop words."""
     blocks = _runs(docs, window, gram).repartition("anchor").sortWithinPartitions("anchor")
     found = materialize(_parse(blocks, window, held), "factors")
     spans = found.filter("kind = 0").select("k1", "k2", "pos", "stop")
@@ -144,7 +144,7 @@ def _spans(docs: DataFrame, window: int, gram: int, held: int) -> DataFrame:
     if not rest.isEmpty():
         twice = rest.groupBy("anchor", "print").agg(F.sum("n").alias("seen")).filter("seen >= 2").drop("seen")
         spans = spans.union(rest.join(twice, ["anchor", "print"]).select("k1", "k2", "pos", "stop"))
-    return spans.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "stop")).alias("spans"))
+    return spans.distinct().groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(F.collect_list(F.struct("pos", "stop")).alias("__spans"))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, held: int = HELD) -> DataFrame:
@@ -156,9 +156,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hel
     text has no words and stays null; repeated rows are copies of each other. kept_sha256 is of the kept words joined
     by one space. Other columns are kept; columns of docs with the names of results are replaced.
     """
-    docs = docs.drop("n_words", "n_removed", "kept_sha256", "k1", "k2", "spans")
+    docs = docs.drop("n_words", "n_removed", "kept_sha256")
     keyed = _keys(docs)
-    joined = keyed.join(_spans(keyed, window, gram, held), ["k1", "k2"], "left").drop("k1", "k2")
+    joined = keyed.join(_spans(keyed, window, gram, held), ["__k1", "__k2"], "left")
     names = docs.columns
     schema = extended(docs, n_words="long", n_removed="long", kept_sha256="string")
 
@@ -166,7 +166,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hel
         for b in slices(batches, "text"):
             texts, n_words, n_removed, shas = [], [], [], []
             col = b.column(b.schema.get_field_index("text"))
-            spans = b.column(b.schema.get_field_index("spans"))
+            spans = b.column(b.schema.get_field_index("__spans"))
             for k, t in enumerate(col.cast(pa.large_binary()).to_pylist()):
                 words = [w for w in t.translate(_SPACE).split(b" ") if w] if t else []
                 n_words.append(len(words))
@@ -183,4 +183,4 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hel
             own = pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(col.type)
             yield pa.RecordBatch.from_arrays([own if c == "text" else b.column(b.schema.get_field_index(c)) for c in names] + [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(shas)], [*names, "n_words", "n_removed", "kept_sha256"])
 
-    return joined.select(*names, "spans").mapInArrow(run, schema)
+    return joined.select(*names, "__spans").mapInArrow(run, schema)
