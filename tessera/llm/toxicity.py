@@ -22,11 +22,17 @@ from .words import words_of
 BUCKETS, DIMS, GRAMS, SPAN = 1 << 18, 8, (4, 6, 8), 8
 DECAY = 1e-4
 #: Labelled documents of each class that the model is fitted on at most (the bound on what the driver gets).
-MOST_PER_CLASS = 4000
+MOST_PER_CLASS = 2000
 PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
-def subwords(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def subwords(words: pa.Array, at_once: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets (int32) of all words' n-grams and their number a word, a bounded number of words at a time."""
+    parts = [_subwords(words.slice(k, at_once)) for k in range(0, len(words), at_once)] or [_subwords(words)]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _subwords(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all words' character n-grams (bytes of the lower-case word between two marks) and their number a word."""
     clean = pc.utf8_trim(pc.utf8_lower(words), characters=PUNCTUATION)
     marked = pc.binary_join_element_wise(*(pa.scalar(x, pa.large_string()) if isinstance(x, str) else x for x in ("\x02", clean, "\x03", ""))).cast(pa.large_binary())
@@ -54,7 +60,7 @@ def subwords(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(own, kind="stable")
     h = h[order]
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return (h >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64), np.bincount(own, minlength=len(words))
+    return (h >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int32), np.bincount(own, minlength=len(words))
 
 
 class Model(NamedTuple):
@@ -98,12 +104,12 @@ def fit(texts: pa.Array, toxic: np.ndarray, epochs: int = 120, seed: int = 3) ->
         base = np.clip(y.mean() if len(y) else 0.0, 0.01, 0.99)
         return Model(model.table * 0, model.weights, np.array([0.0, np.log(base / (1 - base))]))
     moments = [np.zeros_like(x) for x in model]
-    of_word = np.repeat(np.arange(len(sizes)), sizes)
+    of_word = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     balance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) ** 0.8
     doc = np.repeat(np.arange(len(y)), n[there])
     for epoch in range(epochs):
         delta = model.weights[:, 1] - model.weights[:, 0]
-        per_word = _word_means(model.table @ delta, buckets, sizes)
+        per_word = _word_means((model.table @ delta).astype(np.float32), buckets, sizes).astype(np.float64)
         sums = np.concatenate([[0], np.cumsum(per_word[words.which])])
         z = (sums[end] - sums[first]) / (end - first)
         soft = 1.0 if epoch < epochs // 4 else 6.0 if epoch < epochs // 2 else 20.0
@@ -116,7 +122,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, epochs: int = 120, seed: int = 3) ->
         edge = np.zeros(len(words.which) + 1)
         edge += np.bincount(first, on_z, len(edge)) - np.bincount(end, on_z, len(edge))
         on_word = np.bincount(words.which, np.cumsum(edge[:-1]), len(sizes)) / np.maximum(sizes, 1)
-        on_gain = np.bincount(buckets, on_word[of_word], BUCKETS)
+        on_gain = np.bincount(buckets, on_word.astype(np.float32)[of_word], BUCKETS)
         on_delta = model.table.T @ on_gain
         grads = Model(on_gain[:, None] * delta[None, :] + DECAY * model.table, np.stack([-on_delta, on_delta], 1), np.array([-wrong.sum(), wrong.sum()]))
         # Plain momentum, not Adam: a bucket seen in one document must not move as far as one seen in hundreds.
