@@ -63,7 +63,7 @@ def score_observations(obs: DataFrame, group: tuple[str, ...] = GROUP) -> DataFr
     signals = ("authority", "strength", "__fresh", "agreement")
     out = out.withColumns({"__fresh": lookup(F.col("freshness"), FRESHNESS, 0.5), "__health": lookup(F.col("health"), HEALTH, OTHER_HEALTH)})
     total = sum((weight(F.col("claim_class"), k) * F.col(s) for k, s in enumerate(signals)), F.lit(0.0)) - weight(F.col("claim_class"), 4) * F.col("contradiction")
-    milli = F.round(F.greatest(F.lit(0.0), total) * F.col("__health"), 3) * 1000
+    milli = F.greatest(F.lit(0.0), total) * F.col("__health") * 1000
     return out.withColumn("milli", F.round(milli).cast("long")).drop("__same", "__opposed", "__no", "__yes", "__fresh", "__health")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import CODE_NEWLINE, clip, code_heading, lines, lookup, shell_function, squeeze, strip
 from ..functions.vocabulary import COMMENT_STARTS, EXCLUDED_DIRS, EXCLUDED_EXTENSIONS, LANGUAGE_OF_EXTENSION, LANGUAGE_OF_NAME, LOCKFILES, MAX_CRAWL_BYTES
+from ..plans.shared import cut
 
 
 def file_name(path: Column) -> Column:
@@ -171,13 +172,15 @@ def scan_totals(files: DataFrame) -> DataFrame:
 def include_closure(edges: DataFrame, seeds: DataFrame, depth: int = 8, most: int = 32) -> DataFrame:
     """WIN-20: (root, path, depth): what each seed reaches within depth steps, the `most` nearest by depth, then path.
 
-    Each round joins the frontier with the edges and drops what was met; depth bounds the rounds, and the plan with it.
+    Each round joins the frontier with the edges, drops what was met and is checkpointed; a round without news is the last.
     """
     met = seeds.select(F.col("path").alias("root"), "path", F.lit(0).alias("depth"))
     frontier = met
     for k in range(1, depth + 1):
         step = frontier.select("root", F.col("path").alias("source")).join(edges, "source").select("root", F.col("target").alias("path")).distinct()
-        frontier = step.join(met.select("root", "path"), ["root", "path"], "left_anti").withColumn("depth", F.lit(k))
+        frontier = cut(step.join(met.select("root", "path"), ["root", "path"], "left_anti").withColumn("depth", F.lit(k)))
+        if frontier.isEmpty():
+            break
         met = met.unionByName(frontier)
     rank = F.row_number().over(Window.partitionBy("root").orderBy("depth", "path"))
     return met.withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")

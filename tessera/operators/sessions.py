@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def sessions(events: DataFrame, key: str, at: str, gap_seconds: int, tie: str) -> DataFrame:
     """STM-01: (key, session, first, last, n): events of a key less than the gap apart are one session, numbered from 1."""
     w = Window.partitionBy(key).orderBy(at, tie)
-    far = F.unix_micros(F.col(at)) - F.unix_micros(F.lag(at).over(w)) >= gap_seconds * 1_000_000
+    far = F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.lag(at).over(w).cast("timestamp")) >= gap_seconds * 1_000_000
     started = events.withColumn("session", F.sum(F.when(F.coalesce(far, F.lit(True)), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return started.groupBy(key, "session").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n"))
 
