@@ -13,6 +13,7 @@ from .vocabulary import COMPONENT_PATTERNS
 UNIVERSAL_NEWLINE = "\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x{85}\\x{2028}\\x{2029}]"
 CODE_NEWLINE = "\\r?\\n"
 _WHITE = "(?U)[\\s\\x1C-\\x1F]"
+WHITE_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 HEADING = "^(#{1,8}) (.+)$"
 CODE_HEADING = "(?U)^\\s*(#{1,6})\\s+(.*?)\\s*$"
 
@@ -24,7 +25,7 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def strip(s: Column) -> Column:
     """Text without white space at either end."""
-    return F.regexp_replace(s, f"^{_WHITE}+|{_WHITE}+$", "")
+    return F.btrim(s, F.lit(WHITE_SPACE))
 
 
 def lines(text: Column, newline: str = UNIVERSAL_NEWLINE) -> Column:

@@ -9,6 +9,11 @@ from ..functions.text import artifact_id, chunk_id, heading_level, heading_title
 from ..functions.vocabulary import LANES, MAX_BLOCK_CHARS, MAX_HEADING_CHARS, PACKAGE_TTL_SECONDS
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once a row: filters above aren't pushed into them, nor are they inlined in what uses them."""
+    return df.select("*", F.explode_outer(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias("__once")).select(*df.columns, "__once.*")
+
+
 def blocks(text: Column, headings: bool) -> Column:
     """WIN-02, WIN-04, STR-02: array<struct<pos, kind, text, level>>; lines without a blank line between them are one paragraph.
 
@@ -18,8 +23,8 @@ def blocks(text: Column, headings: bool) -> Column:
     trimmed = F.transform(lines(text), strip)
     if headings:
         trimmed = F.transform(trimmed, lambda t: F.when(heading_level(t).isNotNull(), F.concat(F.lit("\n"), t, F.lit("\n"))).otherwise(t))
-    parts = F.filter(F.split(F.array_join(trimmed, "\n"), "\n{2,}"), lambda b: F.regexp_replace(b, "\n", "") != "")
-    parts = F.transform(parts, lambda b: F.regexp_replace(b, "^\n+|\n+$", ""))
+    parts = F.filter(F.split(F.array_join(trimmed, "\n"), "\n{2,}"), lambda b: F.btrim(b, F.lit("\n")) != "")
+    parts = F.transform(parts, lambda b: F.btrim(b, F.lit("\n")))
 
     def one(b: Column, pos: Column) -> Column:
         level = heading_level(b) if headings else F.lit(None).cast("int")
@@ -58,11 +63,11 @@ def extract(docs: DataFrame, request_id: Column, source_ref: Column, headings: b
     An empty text is denied as unsupported_source_type; a heading or block beyond the limits as ineligible_source.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.withColumns({"request_id": request_id, "source_ref": source_ref, "blocks": blocks(text, headings)})
-    out = out.withColumns({"sections": sections(F.col("blocks")), "tables_detected": F.size(F.filter(lines(text), is_table_line))})
+    out = once(docs, blocks=blocks(text, headings), tables_detected=F.size(F.filter(lines(text), is_table_line)))
+    out = once(out.withColumns({"request_id": request_id, "source_ref": source_ref}), sections=sections(F.col("blocks")))
     too_long = F.exists("blocks", lambda b: F.when(b["kind"] == "heading", F.length(b["text"]) > MAX_HEADING_CHARS).otherwise(F.length(b["text"]) > MAX_BLOCK_CHARS))
-    reason = F.when(F.size("blocks") == 0, "unsupported_source_type").when(too_long, "ineligible_source")
-    out = out.withColumn("reason", reason).withColumn("state", F.when(F.col("reason").isNull(), "ready").otherwise("denied"))
+    out = once(out, reason=F.when(F.size("blocks") == 0, "unsupported_source_type").when(too_long, "ineligible_source"))
+    out = out.withColumn("state", F.when(F.col("reason").isNull(), "ready").otherwise("denied"))
     return out.withColumns({"artifact_id": artifact_id(F.col("request_id"), F.col("source_ref")), "source_hash": source_hash(text)})
 
 
@@ -76,10 +81,10 @@ def packages(extracted: DataFrame) -> DataFrame:
     paragraph = F.transform(F.filter("blocks", lambda b: b["kind"] == "paragraph"), lambda b: F.struct(F.lit("paragraph").alias("kind"), b["text"].alias("text")))
     raw = F.when(F.size("sections") > 0, section).otherwise(paragraph)
     numbered = F.transform(raw, lambda c, i: F.struct(i.alias("ordinal"), c["kind"].alias("kind"), c["text"].alias("text"), chunk_id(F.col("request_id"), F.col("source_ref"), i, c["kind"]).alias("chunk_id")))
-    out = extracted.withColumns({"mode": F.when(F.size("sections") > 0, "section").otherwise("paragraph"), "all_chunks": numbered})
+    out = once(extracted.withColumn("mode", F.when(F.size("sections") > 0, "section").otherwise("paragraph")), all_chunks=numbered)
     bad = F.exists("all_chunks", lambda c: (c["text"] == "") | (F.length(c["text"]) > MAX_BLOCK_CHARS))
     reason = F.when(F.col("state") == "stale", "stale_extraction").when(F.col("state") != "ready", "ineligible_extraction").when((F.size("all_chunks") == 0) | bad, "unsupported_route")
-    out = out.withColumn("package_reason", reason)
+    out = once(out, package_reason=reason)
     out = out.withColumns({"package_state": F.when(F.col("package_reason").isNull(), "ready").otherwise("denied"), "chunks": F.when(F.col("package_reason").isNull(), F.col("all_chunks")), "package_id": package_id(F.col("request_id"), F.col("source_ref"))})
     return out.withColumn("ttl_seconds", F.lit(PACKAGE_TTL_SECONDS)).drop("all_chunks")
 
