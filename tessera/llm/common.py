@@ -63,7 +63,7 @@ def worker_state(key: str, make: Callable):
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of a bounded number of text bytes (one row at least)."""
+    """The same rows in batches of a bounded number of text bytes (one row at least). What Arrow holds free goes back at the end."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(column))
         n, at = len(col), 0
@@ -75,6 +75,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 <
             end = max(at + 1, int(np.searchsorted(offs, offs[at] + most_bytes, "right")) - 1)
             yield batch.slice(at, min(end, n) - at)
             at = min(end, n)
+    pa.default_memory_pool().release_unused()
 
 
 def row_key(df: DataFrame) -> list[Column]:

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .common import crc32_mod, extended, slices
 
 DIMS, GRAMS, CENTROIDS = 4096, (2, 3), 3
-#: Documents of each language that are fitted on at most (the bound on what the driver gets), and languages at most by count.
-MOST_PER_LANGUAGE = 800
+#: Documents of each language that are fitted on at most and of all languages together (the bound on what the driver gets).
+MOST_PER_LANGUAGE, MOST = 800, 8000
 _TABLE = np.full(256, 0x20, np.uint8)
 _TABLE[0x61:0x7B] = np.arange(0x61, 0x7B)
 _TABLE[0x41:0x5B] = np.arange(0x61, 0x7B)
@@ -89,6 +89,7 @@ def fit_languages(docs: DataFrame, most_per_language: int = MOST_PER_LANGUAGE) -
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     if not counts:
         return fit(pa.array([], pa.string()), [])
+    most_per_language = min(most_per_language, MOST / len(counts))
     rates = F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, min(1.0, most_per_language / v))])
     draw = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)
     got = usable.filter(draw < rates[F.col("lang")]).toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")])

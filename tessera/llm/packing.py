@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import extended, materialize, slices
 from .tokens import encoder
 
-#: Pieces ranked by one task at most, about.
-RANKED = 4_000_000
+#: Pieces for each salt, about, up to 256 salts: a length that all pieces share is ranked in so many parts.
+RANKED = 5_000
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
@@ -138,7 +138,7 @@ def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
     n = pieces.count()
     salts = min(256, -(-n // RANKED)) or 1
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "k2", "piece"), F.lit(salts)).cast("int"))
-    hist = salted.groupBy("length", "salt").count().toPandas().sort_values(["length", "salt"])
+    hist = salted.groupBy("length", "salt").count().toArrow().to_pandas().sort_values(["length", "salt"])
     hist["base"] = hist.groupby("length")["count"].cumsum() - hist["count"]
     base = np.zeros((capacity + 1, salts), np.int64)
     base[hist["length"].to_numpy(np.int64), hist["salt"].to_numpy(np.int64)] = hist["base"]

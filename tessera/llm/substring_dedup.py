@@ -24,7 +24,7 @@ from .words import gram_hashes, slide_min, word_hashes, words_of
 
 WINDOW, GRAM = 35, 12
 #: Windows of a block that are held at once. What a larger block holds beyond its repeats goes through a shuffle by window.
-HELD = 3_000_000
+HELD = 1_000_000
 _SPACE = bytes.maketrans(b"\x09\x0a\x0b\x0c\x0d", b"     ")
 
 
@@ -107,7 +107,7 @@ def _parse(runs: DataFrame, window: int, held: int) -> DataFrame:
             cut = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
             for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(a)], strict=True):
                 x, y = (int(offs[i] - offs[0]) // 8, int(offs[j] - offs[0]) // 8)
-                if chunk and chunk[-1][0][-1] != a[i] and (size >= held // 4 or over is not None):
+                if chunk and chunk[-1][0][-1] != a[i] and (size >= held // 2 or over is not None):
                     found, rest = factors(flat(chunk))
                     yield found
                     if over is not None:

@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from .common import crc32_mod, extended, slices
 from .words import words_of
 
-BUCKETS, DIMS, GRAMS, SPAN = 1 << 18, 8, (4, 6, 8), 8
+BUCKETS, DIMS, GRAMS, SPAN = 1 << 17, 8, (4, 6, 8), 8
 DECAY = 1e-4
 #: Labelled documents of each class that the model is fitted on at most (the bound on what the driver gets).
-MOST_PER_CLASS = 2000
+MOST_PER_CLASS = 1500
 PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -99,7 +99,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, epochs: int = 120, seed: int = 3) ->
     there = n > 0
     y, starts = toxic[there].astype(float), (np.cumsum(n) - n)[there]
     rng = np.random.default_rng(seed)
-    model = Model(rng.normal(0, 0.1, (BUCKETS, DIMS)), rng.normal(0, 1.0, (DIMS, 2)), np.zeros(2))
+    model = Model(rng.normal(0, 0.1, (BUCKETS, DIMS)).astype(np.float32), rng.normal(0, 1.0, (DIMS, 2)), np.zeros(2))
     if not len(y) or y.min() == y.max():
         base = np.clip(y.mean() if len(y) else 0.0, 0.01, 0.99)
         return Model(model.table * 0, model.weights, np.array([0.0, np.log(base / (1 - base))]))
@@ -124,12 +124,12 @@ def fit(texts: pa.Array, toxic: np.ndarray, epochs: int = 120, seed: int = 3) ->
         on_word = np.bincount(words.which, np.cumsum(edge[:-1]), len(sizes)) / np.maximum(sizes, 1)
         on_gain = np.bincount(buckets, on_word.astype(np.float32)[of_word], BUCKETS)
         on_delta = model.table.T @ on_gain
-        grads = Model(on_gain[:, None] * delta[None, :] + DECAY * model.table, np.stack([-on_delta, on_delta], 1), np.array([-wrong.sum(), wrong.sum()]))
+        grads = Model(on_gain.astype(np.float32)[:, None] * delta.astype(np.float32)[None, :] + np.float32(DECAY) * model.table, np.stack([-on_delta, on_delta], 1), np.array([-wrong.sum(), wrong.sum()]))
         # Plain momentum, not Adam: a bucket seen in one document must not move as far as one seen in hundreds.
         for x, g, m, rate in zip(model, grads, moments, (50.0, 0.02, 0.02), strict=True):
             m *= 0.9
             m += g
-            x -= rate * m * (min(1.0, 5.0 / (rate * float(np.sqrt((m * m).sum())) + 1e-12)) if rate > 1 else 1.0)
+            x -= np.float32(rate * (min(1.0, 5.0 / (rate * float(np.linalg.norm(m)) + 1e-12)) if rate > 1 else 1.0)) * m
     return model
 
 
