@@ -112,7 +112,7 @@ def admit(sources: DataFrame, available: tuple[str, ...] = tuple(lane for lane,
 
 
 def intake_errors(payloads: DataFrame, rules: list[tuple[str, Column, str]], most: int = 10) -> DataFrame:
-    """PRED-04, PRED-36, WIN-18: payloads with errors (path, message), in order and at most `most`, and error_count, the true one.
+    """PRED-04, UDF-36, WIN-18: payloads with errors (path, message), in order and at most `most`, and error_count, the true one.
 
     rules: path, what must hold, message. They become one projection; nothing is joined.
     """
