@@ -163,8 +163,9 @@ def correlation_uuid(s: Column) -> Column:
 
 
 def is_json(text: Column) -> Column:
-    """STR-34."""
-    return F.try_parse_json(text).isNotNull()
+    """STR-34. The parser ignores what stands behind a value; within brackets and within braces it can't."""
+    alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    return F.coalesce(alone, F.lit(False)) & F.try_parse_json(F.concat(F.lit('{"a":'), text, F.lit("}"))).isNotNull()
 
 
 def severity_weight(severity: Column) -> Column:

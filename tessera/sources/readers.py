@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.text import is_json
 from ..functions.vocabulary import EXCLUDED_DIRS
 
 OBSERVATION = "repository string, revision string, target string, claim_class string, subsystem string, polarity string, strength double, freshness string, health string, observed_at long, observation_id long"
@@ -162,7 +163,7 @@ def read_queue(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     """SRC-18, SRC-21, STR-34: whole texts with valid = is JSON; a broken file is a row, not an error."""
     raw = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    return raw.withColumn("valid", F.try_parse_json("text").isNotNull())
+    return raw.withColumn("valid", is_json(F.col("text")))
 
 
 def required_documents(spark: SparkSession, listing: DataFrame, required: list[str]) -> DataFrame:

@@ -1,6 +1,6 @@
 import pytest
 
-from tessera.plans import queries
+from tessera.plans import more, queries  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))

@@ -89,6 +89,13 @@ def test_json_sources_and_sinks(spark, tmp_path):
     assert sinks.write_json(df, str(tmp_path / "out")) == 0
 
 
+@pytest.mark.parametrize("text,fine", [("{}", True), ("[1, 2]", True), ("null", True), (' "x" ', True), ("", False), ("{}}", False), ("1 2", False), ("1,2", False), ("1] 2", False), ('1,"b":2', False), ("{", False), ("[1}", False)])
+def test_json_validity(spark, text, fine):
+    from tessera.functions.text import is_json
+
+    assert spark.createDataFrame([(text,)], "t string").select(is_json(F.col("t")).alias("x")).first().x is fine
+
+
 def test_manifests_and_code(spark):
     cargo = '[dependencies]\na = "1"\nb = {git = "https://github.com/o/b"}\n[workspace.dependencies]\nc = {git = "git@github.com:o/c"}\n'
     project = '[project]\ndependencies = ["x", "y @ git+https://github.com/o/y"]\n[tool.poetry.dependencies]\nz = {git = "https://github.com/o/z"}\n'
