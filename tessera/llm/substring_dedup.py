@@ -79,8 +79,7 @@ def _parse(runs: DataFrame, window: int, held: int) -> DataFrame:
             a, prints, k1, k2, at, n = w
             key = prints ^ (a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             order = np.argsort(key, kind="stable")
-            sorted_ = key[order]
-            first = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])
+            first = np.concatenate([[True], (prints[order[1:]] != prints[order[:-1]]) | (a[order[1:]] != a[order[:-1]])])
             group = np.cumsum(first) - 1
             seen = np.add.reduceat(n[order], np.flatnonzero(first))
             twice = np.zeros(len(key), bool)
