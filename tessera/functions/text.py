@@ -30,7 +30,10 @@ def strip(s: Column) -> Column:
 
 def lines(text: Column, newline: str = UNIVERSAL_NEWLINE) -> Column:
     """STR-01: the lines of a text; one empty line behind a last line end doesn't count, nor does an empty text."""
-    parts = F.split(text, newline, -1)
+    # nearly all texts have but plain line ends: a split by one character needs no pattern
+    rare = "\\r\\n" if newline == CODE_NEWLINE else "[\\r\\x0B\\x0C\\x1C-\\x1E\\x{85}\\x{2028}\\x{2029}]"
+    plain = F.when(text.rlike(rare), F.regexp_replace(text, newline, "\n")).otherwise(text)
+    parts = F.split(plain, "\n", -1)
     return let(parts, lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import CODE_NEWLINE, clip, code_heading, lines, lookup, shell_function, squeeze, strip
+from ..functions.text import CODE_NEWLINE, clip, code_heading, let, lines, lookup, shell_function, squeeze, strip
 from ..functions.vocabulary import COMMENT_STARTS, EXCLUDED_DIRS, EXCLUDED_EXTENSIONS, LANGUAGE_OF_EXTENSION, LANGUAGE_OF_NAME, LOCKFILES, MAX_CRAWL_BYTES
 from ..plans.shared import cut
 
@@ -71,11 +71,22 @@ def contained(path: Column) -> Column:
 
 def file_metrics(lang: Column, text: Column) -> Column:
     """AGG-13: total, blank, comment, todo and fixme lines of a text, as a struct."""
-    ls = lines(text, CODE_NEWLINE)
-    starts = F.coalesce(lookup(lang, {k: "\n".join(v) for k, v in COMMENT_STARTS.items()}), F.lit(""))
-    comment = lambda x: F.exists(F.split(starts, "\n"), lambda s: (s != "") & F.startswith(strip(x), s))
-    n = lambda p: F.size(F.filter(ls, p)).cast("long")
-    return F.struct(F.size(ls).cast("long").alias("total_lines"), n(lambda x: strip(x) == "").alias("blank_lines"), n(comment).alias("comment_lines"), n(lambda x: F.contains(x, F.lit("TODO"))).alias("todo_count"), n(lambda x: F.contains(x, F.lit("FIXME"))).alias("fixme_count"))
+    families = {}
+    for name, starts in COMMENT_STARTS.items():
+        families.setdefault(starts, []).append(name)
+
+    def comment(t: Column) -> Column:
+        out = F.lit(False)
+        for starts, names in families.items():
+            out = out | (lang.isin(*names) & t.rlike("^(?:" + "|".join(x.replace("*", "\\*") for x in starts) + ")"))
+        return out
+
+    def count(ls: Column) -> Column:
+        n = lambda p: F.size(F.filter(ls, p)).cast("long")
+        has = lambda m: n(lambda x: F.contains(x, F.lit(m)))
+        return F.struct(F.size(ls).cast("long").alias("total_lines"), n(lambda x: strip(x) == "").alias("blank_lines"), n(lambda x: comment(strip(x))).alias("comment_lines"), has("TODO").alias("todo_count"), has("FIXME").alias("fixme_count"))
+
+    return let(lines(text, CODE_NEWLINE), count)
 
 
 def line_facts(files: DataFrame) -> DataFrame:
