@@ -33,10 +33,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _folder(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path."""
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage is cut, and a lost executor costs nothing."""
+    """Write df as a table in the shared folder and read it back: lineage is cut, and a lost executor costs nothing.
+
+    The table goes when the driver ends, as the result may be read until then; discard() deletes it sooner.
+    """
     path = f"{shared_dir(df.sparkSession)}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    fs, hpath = _folder(df.sparkSession, path)
+    fs.deleteOnExit(hpath)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out
@@ -46,9 +57,8 @@ def discard(df: DataFrame) -> None:
     """Delete what materialize() wrote for df; nothing may read it any more."""
     path = getattr(df, "_tessera_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        hpath = jvm.org.apache.hadoop.fs.Path(path)
-        hpath.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+        fs, hpath = _folder(df.sparkSession, path)
+        fs.delete(hpath, True)
 
 
 def worker_state(key: str, make: Callable):
