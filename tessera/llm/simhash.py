@@ -101,7 +101,7 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 #: Words of a shingle, least Jaccard similarity of the sets, 64-bit parts of a wide fingerprint.
 WIDE_SHINGLE, SIMILARITY, PARTS = 5, 0.8, 4
 #: Segments, bits of each, and how many of a segment's least certain bits are flipped in all combinations.
-WIDE_SEGMENTS, WIDE_BITS, UNCERTAIN = 8, 28, 4
+WIDE_SEGMENTS, WIDE_BITS, UNCERTAIN = 10, 25, 3
 #: Differing bits up to which a pair is certainly similar, and beyond which it certainly isn't: at 0.8 a pair differs in
 #: 39 of 256 bits, with a standard deviation of 6. Pairs between are compared by their sets.
 SURE, NEVER = 24, 60
@@ -153,10 +153,13 @@ def _keys(marks: DataFrame) -> DataFrame:
 
 def _candidates(marks: DataFrame) -> DataFrame:
     """(a, b, bits): pairs of one table entry, verified by their whole distance. An entry's texts are linked to its first, and
-    in small entries to the one before, never all with all."""
-    w = Window.partitionBy("key")
-    met = _keys(marks).select("k2", F.min("k2").over(w).alias("first"), F.count("*").over(w).alias("n"), F.lag("k2").over(w.orderBy("k2")).alias("before"))
-    pairs = met.filter("n > 1").select(F.explode(F.array(F.struct(F.col("first").alias("a"), F.col("k2").alias("b")), F.struct(F.when(F.col("n") <= 8, F.col("before")).alias("a"), F.col("k2").alias("b")))).alias("p")).select("p.*").filter("a <> b").distinct()
+    in small entries to its last, never all with all. First and last are partial aggregates joined back, so that an entry
+    with many texts is split among tasks."""
+    keys = _keys(marks)
+    entries = keys.groupBy("key").agg(F.min("k2").alias("first"), F.max("k2").alias("last"), F.count("*").alias("n")).filter("n > 1")
+    link = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    both = F.array(link(F.col("first"), F.col("k2")), link(F.col("k2"), F.when(F.col("n") <= 8, F.col("last"))))
+    pairs = keys.join(entries, "key").select(F.explode(both).alias("p")).select("p.*").filter("a <> b").distinct()
     names = [f"f{k}" for k in range(PARTS)]
     one = marks.select(F.col("k2").alias("a"), *[F.col(c).alias(f"a_{c}") for c in names])
     two = marks.select(F.col("k2").alias("b"), *names)
