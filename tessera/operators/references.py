@@ -127,8 +127,12 @@ def correspondence(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def latest(rows: DataFrame, key: str, at: str, tie: str) -> DataFrame:
-    """WIN-10: the row of the greatest time a key; ties keep the first by `tie`. An aggregate, so a hot key is combined early."""
-    rest = [c for c in rows.columns if c not in (key,)]
-    first = rows.groupBy(key, at).agg(F.min_by(F.struct(*rest), F.col(tie)).alias("r"))
-    best = first.groupBy(key).agg(F.max_by("r", at).alias("r"))
+    """WIN-10: the row of the greatest time (a timestamp or number) a key; ties keep the first by `tie`.
+
+    One aggregate with partial results, so a hot key is combined before the only exchange.
+    """
+    rest = [c for c in rows.columns if c != key]
+    kind = rows.schema[at].dataType.typeName()
+    when = F.unix_micros(F.col(at).cast("timestamp")) if kind.startswith("timestamp") else F.col(at)
+    best = rows.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(-when, F.col(tie))).alias("r"))
     return best.select(key, *[F.col("r")[c].alias(c) for c in rest])
