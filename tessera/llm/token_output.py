@@ -29,9 +29,15 @@ MAGIC = b"PFR1"
 SCHEMA = "shard long, seq long, first long, n_ids long, doc_ids array<bigint>, doc_lens array<bigint>, data binary"
 
 
+_BITS = np.array([k.bit_length() for k in range(1 << 16)], np.uint8)
+
+
 def _widths(deltas: np.ndarray) -> np.ndarray:
-    """Bits of each delta."""
-    return np.frexp(deltas.astype(np.float64))[1].astype(np.uint8)
+    """Bits of each delta (uint32)."""
+    if not deltas.size or deltas.max() < 1 << 16:
+        return _BITS[deltas]
+    high = deltas >> np.uint32(16)
+    return np.where(high > 0, 16 + _BITS[high], _BITS[deltas & np.uint32(0xFFFF)]).astype(np.uint8)
 
 
 def pack(ids: np.ndarray) -> bytes:

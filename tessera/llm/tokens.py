@@ -10,14 +10,15 @@ from .common import worker_state
 
 #: Words with these letters go to the library as they are: there lower case and normal form may depend on neighbours.
 _RARE = r"[^\x{00}-\x{17F}]|\x{130}"
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
 
 class WordEncoder:
     """Encodes white-space separated words once and keeps their ids; at most about `most` words are kept.
 
     The tokenizer must lower-case, drop white space, end each piece of letters with one token in </w>, and never join
-    words across white space, as word_bpe_49k.json does. Words of letters and their form with one . or , behind share
-    an entry; all others are encoded by the library as they stand.
+    words across white space, as word_bpe_49k.json does. Words of letters share an entry with their
+    forms with punctuation behind, which is a piece of its own; all others are encoded by the library as they stand.
     """
 
     def __init__(self, path: str, most: int = 400_000):
@@ -73,21 +74,26 @@ class WordEncoder:
         return np.array(found, np.int64)
 
     def _entries(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Two entries for each distinct word: of the word, and of the . or , behind it."""
-        dot, comma = pc.ends_with(words, "."), pc.ends_with(words, ",")
-        body = pc.if_else(pc.or_(dot, comma), pc.utf8_slice_codeunits(words, 0, -1), words)
-        plain = pc.and_not(pc.utf8_is_alpha(body), pc.match_substring_regex(body, _RARE))
-        low = pc.utf8_lower(body.filter(plain)).dictionary_encode()
-        is_plain = plain.to_numpy(zero_copy_only=False)
+        """Two entries for each distinct word: of the word, and of the punctuation behind its letters."""
+        body = pc.utf8_rtrim(words, characters=_MARKS)
+        offs = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+        behind = np.diff(offs) - pc.binary_length(body).to_numpy(zero_copy_only=False)
+        plain = pc.and_not(pc.utf8_is_alpha(body), pc.match_substring_regex(body, _RARE)).to_numpy(zero_copy_only=False) & (behind <= 8)
+        low = pc.utf8_lower(body.filter(pa.array(plain))).dictionary_encode()
         one, two = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         if len(low):
-            one[is_plain] = self._find(self.plain, low.dictionary.to_pylist(), self._learn_plain)[low.indices.to_numpy()]
-        rest = words.filter(pc.invert(plain)).to_pylist()
+            one[plain] = self._find(self.plain, low.dictionary.to_pylist(), self._learn_plain)[low.indices.to_numpy()]
+        rest = words.filter(pa.array(~plain)).to_pylist()
         if rest:
-            one[~is_plain] = self._find(self.other, rest, self._learn_other)
-        marks = self._find(self.other, [".", ","], self._learn_other)
-        for k, behind in enumerate((dot, comma)):
-            two[is_plain & behind.to_numpy(zero_copy_only=False)] = marks[k]
+            one[~plain] = self._find(self.other, rest, self._learn_other)
+        marked = np.flatnonzero(plain & (behind > 0))
+        if len(marked):  # the last bytes of a word, as a number
+            data = np.frombuffer(words.buffers()[2], np.uint8)
+            place = np.arange(8)
+            last = np.where(place < behind[marked, None], data[np.maximum(offs[1:][marked, None] - 1 - place, 0)], 0).astype(np.uint64)
+            codes, which = np.unique((last << (8 * place).astype(np.uint64)).sum(1, dtype=np.uint64), return_inverse=True)
+            tails = [int(c).to_bytes(8, "big").lstrip(b"\0").decode() for c in codes]
+            two[marked] = self._find(self.other, tails, self._learn_other)[which]
         return one, two
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
