@@ -94,8 +94,10 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 
 #: Words of a shingle, least Jaccard similarity of the sets, 64-bit parts of a wide fingerprint.
 WIDE_SHINGLE, SIMILARITY, PARTS = 5, 0.8, 4
-#: Segments, bits of each, and how many of a segment's least certain bits are flipped in all combinations.
-WIDE_SEGMENTS, WIDE_BITS, UNCERTAIN = 10, 25, 3
+#: Segments, bits of each, how many of a segment's bits count as uncertain, and how many of these are flipped at most.
+#: Two unrelated texts meet with a probability of 8 * 11 * 11 / 2**28, so that up to some ten million distinct texts their meetings are
+#: fewer than the texts; beyond that, take wider segments and more parts.
+WIDE_SEGMENTS, WIDE_BITS, UNCERTAIN, FLIPS = 8, 28, 4, 2
 #: Differing bits up to which a pair is certainly similar, and beyond which it certainly isn't: at 0.8 a pair differs in
 #: 39 of 256 bits, with a standard deviation of 6. Pairs between are compared by their sets.
 SURE, NEVER = 24, 60
@@ -123,13 +125,14 @@ def _wide_marks(docs: DataFrame) -> DataFrame:
 
 
 def _keys(marks: DataFrame) -> DataFrame:
-    """(key, k2): for each segment its value with every combination of its least certain bits flipped: the part of the
-    segment's Hamming ball in which near copies lie. Both sides enumerate, so two texts meet if each bit in which their
-    segments differ is uncertain in one of them."""
+    """(key, k2): for each segment its value with up to FLIPS of its least certain bits flipped: the part of the segment's
+    Hamming ball in which near copies lie. Both sides enumerate, so two texts meet if the bits in which their segments
+    differ are uncertain in one of them, FLIPS in each at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = 1 << np.arange(WIDE_BITS - 1, -1, -1, dtype=np.int64)
         chosen = (np.arange(1 << UNCERTAIN)[:, None] >> np.arange(UNCERTAIN)) & 1
+        chosen = chosen[chosen.sum(1) <= FLIPS]
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 part = b.slice(at, 2048)
@@ -140,7 +143,7 @@ def _keys(marks: DataFrame) -> DataFrame:
                 values = bits @ weight
                 keys = values[:, :, None] ^ (weight[low] @ chosen.T)
                 keys += (np.arange(WIDE_SEGMENTS, dtype=np.int64) << WIDE_BITS)[None, :, None]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(part.column(0).to_numpy(), WIDE_SEGMENTS << UNCERTAIN))], ["key", "k2"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(part.column(0).to_numpy(), WIDE_SEGMENTS * len(chosen)))], ["key", "k2"])
 
     return marks.mapInArrow(run, "key long, k2 long")
 
