@@ -14,7 +14,7 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-HEADLINE = ("extract_paragraphs", "section_chunks", "paragraph_chunks", "file_metrics")
+HEADLINE = ("extract_paragraphs", "section_chunks", "paragraph_chunks", "deterministic_ids", "lane_admission", "shard_plan", "receipt_reconcile", "run_states", "cache_lookup", "file_metrics", "change_detect", "manifest_edges", "claim_scores", "claim_decisions", "claim_episodes", "queue_report", "watch_sessions", "latest_manifest")
 
 
 def main() -> None:
