@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,6 +102,8 @@ WIDE_SEGMENTS, WIDE_BITS, UNCERTAIN, FLIPS = 8, 28, 4, 2
 #: Differing bits up to which a pair is certainly similar, and beyond which it certainly isn't: at 0.8 a pair differs in
 #: 39 of 256 bits, with a standard deviation of 6. Pairs between are compared by their sets.
 SURE, NEVER = 24, 60
+#: Texts of one block of a large table entry; blocks are compared two by two.
+BLOCK = 512
 
 
 def _wide(hashes: np.ndarray) -> np.ndarray:
@@ -124,8 +127,8 @@ def _wide_marks(docs: DataFrame) -> DataFrame:
     return marks.groupBy("k2").agg(*[F.first(c).alias(c) for c in marks.columns[1:]])
 
 
-def _keys(marks: DataFrame) -> DataFrame:
-    """(key, k2): for each segment its value with up to FLIPS of its least certain bits flipped: the part of the segment's
+def _keys(marks: DataFrame, *carried: str) -> DataFrame:
+    """(key, k2, carried columns of longs): for each segment its value with up to FLIPS of its least certain bits flipped: the part of the segment's
     Hamming ball in which near copies lie. Both sides enumerate, so two texts meet if the bits in which their segments
     differ are uncertain in one of them, FLIPS in each at most."""
 
@@ -143,15 +146,17 @@ def _keys(marks: DataFrame) -> DataFrame:
                 values = bits @ weight
                 keys = values[:, :, None] ^ (weight[low] @ chosen.T)
                 keys += (np.arange(WIDE_SEGMENTS, dtype=np.int64) << WIDE_BITS)[None, :, None]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(part.column(0).to_numpy(), WIDE_SEGMENTS * len(chosen)))], ["key", "k2"])
+                rest = [pa.array(np.repeat(part.column(k).to_numpy(), WIDE_SEGMENTS * len(chosen))) for k in (0, *range(2 + PARTS, part.num_columns))]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), *rest], ["key", "k2", *carried])
 
-    return marks.mapInArrow(run, "key long, k2 long")
+    columns = ["k2", *[f"f{k}" for k in range(PARTS)], "low", *carried]
+    return marks.select(*columns).mapInArrow(run, ", ".join(f"{c} long" for c in ("key", "k2", *carried)))
 
 
 def _candidates(marks: DataFrame) -> DataFrame:
     """(a, b, bits): pairs of one table entry, verified by their whole distance. An entry's texts are linked to its first, and
-    in small entries to its last, never all with all. First and last are partial aggregates joined back, so that an entry
-    with many texts is split among tasks."""
+    in small entries to its last, which unites most groups by few pairs; _open_pairs compares what is left apart. First
+    and last are partial aggregates joined back, so that an entry with many texts is split among tasks."""
     keys = _keys(marks)
     entries = keys.groupBy("key").agg(F.min("k2").alias("first"), F.max("k2").alias("last"), F.count("*").alias("n")).filter("n > 1")
     link = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
@@ -164,20 +169,133 @@ def _candidates(marks: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", bits.alias("bits")).filter(F.col("bits") <= NEVER)
 
 
+def _open_pairs(marks: DataFrame) -> DataFrame:
+    """(a, b, sure): pairs of one table entry whose texts have different roots (column root of marks), all with all.
+
+    An entry whose texts have one root is settled. Others are dealt into blocks of about BLOCK texts by hash, and each
+    pair of blocks is compared by whole distance in one place, so no task holds more than two blocks. Sure pairs come as
+    one link a text to the least of those they unite in the two blocks; pairs up to NEVER bits that these leave apart
+    come one by one.
+    """
+    names = [f"f{k}" for k in range(PARTS)]
+    keys = _keys(marks, "root")
+    mixed = keys.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low <> high")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = keys.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("k2", F.lit(1)), F.col("blocks")).cast("int"))
+    dealt = dealt.select("key", "k2", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "k2").join(marks.select("k2", "root", *names), "k2")
+    placed = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own").select("key", "i", "j", "own", "k2", "root", *names)
+
+    def compared(m: np.ndarray) -> np.ndarray:
+        """Rows (a, b, sure) of two blocks' rows (own, k2, root, fingerprint)."""
+        own, k2, root, words = m[:, 0], m[:, 1], m[:, 2], m[:, 3:].view(np.uint64)
+        two = np.searchsorted(own, own[-1])  # if blocks differ, only pairs between them: the rest is compared elsewhere
+        x, y = (slice(0, two), slice(two, len(m))) if two else (slice(0, len(m)), slice(0, len(m)))
+        bits = np.zeros((x.stop - x.start, y.stop - y.start), np.int16)
+        for k in range(PARTS):
+            bits += np.bitwise_count(words[x, k][:, None] ^ words[y, k][None, :])
+        bits[root[x][:, None] == root[y][None, :]] = 1 << 14
+        label = np.unique(root, return_inverse=True)[1].reshape(-1)  # united already
+        first = np.arange(len(m))
+        a, b = np.nonzero(bits <= SURE)
+        a, b = a + x.start, b + y.start
+        links = []
+        while len(a):
+            apart = label[a] != label[b]
+            a, b = a[apart], b[apart]
+            if not len(a):
+                break
+            # one pair for each two labels, which then become one: each link unites two
+            high, low = np.maximum(label[a], label[b]), np.minimum(label[a], label[b])
+            at = np.unique(high, return_index=True)[1]
+            links.append(np.stack([k2[a[at]], k2[b[at]], np.ones(len(at), np.int64)], 1))
+            to = np.arange(label.max() + 1)
+            to[high[at]] = low[at]
+            while (to[to] != to).any():
+                to = to[to]
+            label = to[label]
+        a, b = np.nonzero((bits > SURE) & (bits <= NEVER) & (label[x][:, None] != label[y][None, :]))
+        a, b = k2[first[x][a]], k2[first[y][b]]
+        links.append(np.stack([a, b, np.zeros(len(a), np.int64)], 1))
+        out = np.concatenate(links)
+        out[:, :2].sort(axis=1)
+        return np.unique(out, axis=0) if two == 0 else out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        found, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            rows = np.concatenate(found)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, 0])), pa.array(np.ascontiguousarray(rows[:, 1])), pa.array(rows[:, 2] > 0)], ["a", "b", "sure"])
+
+        def settle() -> None:
+            nonlocal size
+            m = held[0] if len(held) == 1 else np.concatenate(held)
+            # blocks i and j differ, but all texts here are of one of them: nothing to compare
+            if len(m) > 1 and not (now[1] != now[2] and m[0, 0] == m[-1, 0]):
+                found.append(compared(m))
+                size += len(found[-1])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns], 1)
+            cut = np.flatnonzero(np.concatenate([[True], (rows[1:, :3] != rows[:-1, :3]).any(1)]))
+            for begin, end in zip(cut.tolist(), [*cut[1:].tolist(), len(rows)], strict=True):
+                if held and now != tuple(rows[begin, :3]):
+                    settle()
+                    held = []
+                    if size > 1 << 16:
+                        yield out()
+                        found, size = [], 0
+                now = tuple(rows[begin, :3])
+                held.append(rows[begin:end, 3:])
+        if held:
+            settle()
+        if size:
+            yield out()
+
+    return placed.mapInArrow(run, "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure"))
+
+
 def _similar(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets of five-word shingles have a Jaccard similarity of SIMILARITY or more. Only their texts are read again."""
+    """The pairs (a, b) whose sets of five-word shingles have a Jaccard similarity of SIMILARITY or more.
+
+    Only their texts are read again. Pairs are dealt into cells by hash of both ends, so a set goes once into a cell and
+    not once with each pair; cells have some hundred pairs each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             sets = [np.unique(shingle_hashes(t or b"", WIDE_SHINGLE)).view(np.int64) for t in b.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("k2"), pa.array(sets, pa.list_(pa.int64()))], ["k2", "s"])
 
+    def verify(left: pa.Table, right: pa.Table) -> pa.Table:
+        at = {k: n for n, k in enumerate(right.column("k2").to_pylist())}
+        chunks = right.column("s").combine_chunks()
+        flat, offs = chunks.values.to_numpy().view(np.uint64), chunks.offsets.to_numpy()
+        a, b = left.column("a").to_pylist(), left.column("b").to_pylist()
+        keep = np.zeros(len(a), bool)
+        for n, (p, q) in enumerate(zip(a, b, strict=True)):
+            x, y = (flat[offs[at[k]] : offs[at[k] + 1]] for k in (p, q))
+            if len(x) > len(y):
+                x, y = y, x
+            if not len(x) or len(x) < SIMILARITY * len(y):
+                keep[n] = len(x) == len(y)
+                continue
+            common = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
+            keep[n] = common >= SIMILARITY * (len(x) + len(y) - common)
+        return left.select(["a", "b"]).filter(pa.array(keep))
+
     wanted = pairs.select(F.col("a").alias("k2")).union(pairs.select("b")).distinct()
     texts = docs.select(F.xxhash64("text").alias("k2"), "text").join(wanted, "k2", "left_semi").dropDuplicates(["k2"])
     sets = materialize(texts.mapInArrow(run, "k2 long, s array<long>"), "shingles")
-    j = pairs.join(sets.select(F.col("k2").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("k2").alias("b"), F.col("s").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return j.filter(common >= SIMILARITY * (F.size("x") + F.size("y") - common)).select("a", "b")
+    side = max(1, math.isqrt(pairs.count() // 200))
+    cell = lambda c: F.pmod(F.xxhash64(c, F.lit(2)), F.lit(side))
+    dealt = pairs.select((cell("a") * side + cell("b")).alias("cell"), "a", "b")
+    need = dealt.select("cell", F.explode(F.array("a", "b")).alias("k2")).distinct().join(sets, "k2").select(F.col("cell").alias("at"), "k2", "s")
+    return dealt.groupBy("cell").cogroup(need.groupBy("at")).applyInArrow(verify, "a long, b long")
 
 
 def near_copy_groups(docs: DataFrame) -> DataFrame:
@@ -185,18 +303,33 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
 
     Wide fingerprints (256 bits of the distinct shingles, A-Z in lower case) are cut into segments; each segment's least
     certain bits are enumerated, table matches are verified by whole distance, and what the distance leaves open between
-    different groups by the sets themselves. On check_s this finds 99 % of all similar pairs, and more of the groups. Null
-    and blank texts, which have no shingle, are one group; texts of fewer than five words are one shingle.
+    different groups by the sets themselves. This is done twice: first each entry's texts with its first, which unites most
+    groups by few pairs, then all with all where an entry still holds different groups. On check_s this finds 99 % of all
+    similar pairs, and more of the groups. Null and blank texts, which have no shingle, are one group; texts of fewer than
+    five words are one shingle.
     """
     marks = materialize(_wide_marks(docs), "wide")
     found = materialize(_candidates(marks), "candidates")
     sure = found.filter(F.col("bits") <= SURE).select("a", "b")
-    roots = materialize(components(sure), "sure")
+    links = materialize(sure.union(_similar(docs, _apart(found.filter(F.col("bits") > SURE), components(sure)))), "links")
+    rooted = materialize(_rooted(marks, components(links)), "rooted")
+    more = materialize(_open_pairs(rooted), "more")
+    sure = links.union(more.filter("sure").select("a", "b"))
+    links = sure.union(_similar(docs, _apart(more.filter("not sure"), components(sure))))
+    return _rooted(marks, components(links)).select("k2", "root")
+
+
+def _rooted(marks: DataFrame, roots: DataFrame) -> DataFrame:
+    """marks with the root of each text, itself where it has no link."""
+    return marks.join(roots.select(F.col("node").alias("k2"), "root"), "k2", "left").withColumn("root", F.coalesce("root", "k2"))
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different roots, written."""
+    roots = materialize(roots, "sure")
     named = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    rest = found.filter(F.col("bits") > SURE).join(named("a"), "a", "left").join(named("b"), "b", "left")
-    rest = materialize(rest.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "open")
-    all_ = components(sure.union(_similar(docs, rest))).select(F.col("node").alias("k2"), "root")
-    return marks.select("k2").join(all_, "k2", "left").select("k2", F.coalesce("root", "k2").alias("root"))
+    rest = pairs.join(named("a"), "a", "left").join(named("b"), "b", "left")
+    return materialize(rest.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "open")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

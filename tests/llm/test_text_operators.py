@@ -185,6 +185,20 @@ def test_near_copies_against_all_pairs(spark, seed):
     assert len(got - want) <= 0.02 * (len(rows) - len(want)), (len(got - want), len(rows), len(want))
 
 
+def test_near_copies_within_a_family(spark):
+    """Near copies among many texts that share boilerplate, whose first of a table entry belongs to none of them."""
+    rng = np.random.default_rng(5)
+    common, rows = [f"c{k}" for k in range(165)], []
+    for k in range(1500):
+        own = [f"o{k}x{n}" for n in range(39)]
+        rows.append((k, " ".join(common + own), None, None, None, None))
+        if k % 25 == 0:  # a pair at 0.9, which shares what is its own
+            rows.append((10000 + k, " ".join(common + own[:-11] + [f"p{k}x{n}" for n in range(11)]), None, None, None, None))
+    got = {r.doc_id for r in simhash.drop_near_copies(docs(spark, rows=[rows[n] for n in rng.permutation(len(rows))])).collect()}
+    assert set(range(1500)) <= got, "a text of the family without a near copy is gone"
+    assert len(got) <= 1501, len(got) - 1500
+
+
 def test_quality(spark):
     out = {}
     for r in quality.quality(docs(spark, "n_words")).collect():
