@@ -94,14 +94,14 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 # ---- near copies by similarity: wide fingerprints of five-word shingles
 
 #: Words of a shingle, least Jaccard similarity of the sets, 64-bit parts of a wide fingerprint.
-WIDE_SHINGLE, SIMILARITY, PARTS = 5, 0.8, 4
+WIDE_SHINGLE, SIMILARITY, PARTS = 5, 0.8, 6
 #: Segments, bits of each, how many of a segment's bits count as uncertain, and how many of these are flipped at most.
-#: Two unrelated texts meet with a probability of 8 * 11 * 11 / 2**28, so that up to some ten million distinct texts their meetings are
+#: Two unrelated texts meet with a probability of 13 * 11 * 11 / 2**28, so that up to some 300 000 distinct texts their meetings are
 #: fewer than the texts; beyond that, take wider segments and more parts.
-WIDE_SEGMENTS, WIDE_BITS, UNCERTAIN, FLIPS = 8, 28, 4, 2
+WIDE_SEGMENTS, WIDE_BITS, UNCERTAIN, FLIPS = 13, 28, 4, 2
 #: Differing bits up to which a pair is certainly similar, and beyond which it certainly isn't: at 0.8 a pair differs in
-#: 39 of 256 bits, with a standard deviation of 6. Pairs between are compared by their sets.
-SURE, NEVER = 24, 60
+#: 59 of 384 bits, with a standard deviation of 7. Pairs between are compared by their sets.
+SURE, NEVER = 36, 90
 #: Texts of one block of a large table entry; blocks are compared two by two.
 BLOCK = 512
 
@@ -301,11 +301,11 @@ def _similar(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 def near_copy_groups(docs: DataFrame) -> DataFrame:
     """(k2, root): the group of each distinct text (k2: its xxhash64) by similarity of five-word shingles of at least SIMILARITY.
 
-    Wide fingerprints (256 bits of the distinct shingles, A-Z in lower case) are cut into segments; each segment's least
+    Wide fingerprints (384 bits of the distinct shingles, A-Z in lower case) are cut into segments; each segment's least
     certain bits are enumerated, table matches are verified by whole distance, and what the distance leaves open between
     different groups by the sets themselves. This is done twice: first each entry's texts with its first, which unites most
-    groups by few pairs, then all with all where an entry still holds different groups. On check_s this finds 99 % of all
-    similar pairs, and more of the groups. Null and blank texts, which have no shingle, are one group; texts of fewer than
+    groups by few pairs, then all with all where an entry still holds different groups. Of pairs at a similarity of 0.8 about 95 %
+    become candidates (simulated), of more similar ones more. Null and blank texts, which have no shingle, are one group; texts of fewer than
     five words are one shingle.
     """
     marks = materialize(_wide_marks(docs), "wide")

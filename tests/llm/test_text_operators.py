@@ -199,6 +199,21 @@ def test_near_copies_within_a_family(spark):
     assert len(got) <= 1501, len(got) - 1500
 
 
+def test_candidates_at_the_least_similarity(spark):
+    """Of lone pairs at 0.8 at least nine in ten become candidates."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(400):
+        n = (154, 404)[k % 2]
+        own = [f"q{x}" for x in rng.integers(0, 10**9, n)]
+        cut = round((n - 4) / 9)  # n - 4 shingles, a ninth of them replaced: 8 / 10
+        rows += [(2 * k, " ".join(own), None, None, None, None), (2 * k + 1, " ".join(own[:-cut] + [f"r{k}x{x}" for x in range(cut)]), None, None, None, None)]
+    ds = docs(spark, rows=rows)
+    keys = {r.k2: r.doc_id for r in ds.selectExpr("doc_id", "xxhash64(text) k2").collect()}
+    found = {tuple(sorted((keys[r.a], keys[r.b]))) for r in simhash._candidates(simhash._wide_marks(ds)).collect()}
+    assert sum((2 * k, 2 * k + 1) in found for k in range(400)) >= 360, sum((2 * k, 2 * k + 1) in found for k in range(400))
+
+
 def test_quality(spark):
     out = {}
     for r in quality.quality(docs(spark, "n_words")).collect():
