@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import types
 import uuid
@@ -24,9 +25,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__package__])
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, one of our own if the session is local, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"/tmp/checkpoints/{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -88,9 +91,41 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 <
     pa.default_memory_pool().release_unused()
 
 
-def row_key(df: DataFrame) -> list[Column]:
-    """Two never-null columns k1, k2 which only repeated rows share."""
-    return [F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("k1"), F.xxhash64("doc_id", "text").alias("k2")]
+#: Bytes of a long text that are worked on at once.
+PIECE = 4 << 20
+_GAP = re.compile(rb"[\x20\t-\r]")
+
+
+def cut_at_spaces(raw: bytes, most: int = PIECE) -> Iterator[bytes]:
+    """raw in pieces of at most `most` bytes that end behind white space; a longer word stays whole."""
+    at = 0
+    while at < len(raw):
+        end = min(len(raw), at + most)
+        if end < len(raw):
+            cut = max(raw.rfind(bytes([c]), at, end) for c in SPACES)
+            if cut < at:
+                gap = _GAP.search(raw, end)
+                cut = gap.start() if gap else len(raw) - 1
+            end = cut + 1
+        yield raw[at:end]
+        at = end
+
+
+def keys128(*columns: str) -> tuple[Column, Column]:
+    """Two never-null longs, a 128-bit hash of columns: what rows share that are equal in them, nulls included."""
+    return F.xxhash64(*columns), F.xxhash64(F.lit(1), *columns)
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def crc32_mod(column: str, n: int) -> Column:

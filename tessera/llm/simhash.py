@@ -1,37 +1,50 @@
-"""SimHash near-dedup by multi-index hashing over 64-bit fingerprints."""
+"""SimHash near-dedup by multi-index hashing over 64-bit fingerprints, and near copies by similarity over wider ones."""
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import cut_at_spaces, keys128, materialize, slices, spare
 from .components import components
 from .words import mix
 
-SHINGLE, SEED, SEGMENTS = 3, 42, 2
+#: Words of a shingle, XXH64's seed, segments of a fingerprint, differing bits of a link.
+SHINGLE, SEED, SEGMENTS, REACH = 3, 42, 2, 2
+#: Fingerprints of one table entry above which it is looked up by the whole fingerprint's ball instead.
+HOT = 1000
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _SPACE = bytes.maketrans(b"\x09\x0a\x0b\x0c\x0d", b"     ")
 
 
-def shingle_hashes(text: bytes, words_each: int) -> np.ndarray:
-    """XXH64 of each sequence of words_each words of a text (fewer words: of all of them; none: no hash), A-Z in lower case."""
+def shingle_hashes(text: bytes, words_each: int) -> Iterator[np.ndarray]:
+    """XXH64 of each sequence of words_each words of a text (fewer words: of all of them; none: no hash), A-Z in lower case.
+
+    A long text comes in pieces, the last words of each carried into the next, so memory does not grow with it.
+    """
     from xxhash import xxh64_intdigest as h
 
-    words = [w for w in text.translate(_UPPER).translate(_SPACE).split(b" ") if w]
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined, n = b" ".join(words), len(words) - words_each + 1
-    if n <= 1:
-        return np.array([h(joined, SEED)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    begins = [0, *(ends[: n - 1] + 1).tolist()]
-    return np.fromiter((h(joined[a:b], SEED) for a, b in zip(begins, ends[words_each - 1 :].tolist(), strict=True)), np.uint64, n)
+    carried: list[bytes] = []
+    found = False
+    for piece in cut_at_spaces(text):
+        words = carried + [w for w in piece.translate(_UPPER).translate(_SPACE).split(b" ") if w]
+        n = len(words) - words_each + 1
+        carried = words[max(0, n) :]
+        if n < 1:
+            continue
+        joined, found = b" ".join(words), True
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        begins = [0, *(ends[: n - 1] + 1).tolist()]
+        yield np.fromiter((h(joined[a:b], SEED) for a, b in zip(begins, ends[words_each - 1 :].tolist(), strict=True)), np.uint64, n)
+    if carried and not found:
+        yield np.array([h(b" ".join(carried), SEED)], np.uint64)
 
 
 def margins(hashes: np.ndarray) -> np.ndarray:
@@ -44,7 +57,8 @@ def margins(hashes: np.ndarray) -> np.ndarray:
 
 def fingerprint(text: bytes) -> int:
     """Unsigned fingerprint of one text: a bit is set if over half the shingles' hashes have it; no words: 0."""
-    return int.from_bytes(np.packbits(margins(shingle_hashes(text, SHINGLE)) > 0).tobytes(), "big")
+    total = sum((margins(h) for h in shingle_hashes(text, SHINGLE)), np.zeros(64, np.int64))
+    return int.from_bytes(np.packbits(total > 0).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -58,33 +72,70 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def near_pairs(fps: DataFrame) -> DataFrame:
-    """(a, b): links that connect all distinct fingerprints (column fp) at 2 or fewer differing bits.
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+def segment_masks(segments: int) -> list[int]:
+    """The bits of each segment of a 64-bit fingerprint; widths differ by one at most."""
+    edges = [64 * k // segments for k in range(segments + 1)]
+    return [sum(1 << b for b in range(x, y)) for x, y in itertools.pairwise(edges)]
+
+
+def ball(mask: int, radius: int) -> list[int]:
+    """All ways to flip at most `radius` of a segment's bits."""
+    bits = [1 << b for b in range(64) if mask >> b & 1]
+    return [sum(chosen) for k in range(radius + 1) for chosen in itertools.combinations(bits, k)]
 
-    Two such fingerprints have a common neighbour one bit from each. So each fingerprint's segments are taken in turn,
-    the ball of radius one within that segment is enumerated (the other segment kept), and every member is looked up in
-    one table of such variants. A table entry matches at most 65 distinct fingerprints, all linked to each other, so
-    there is no hot bucket; each match is verified by its whole distance and chained to the next, not to all others.
+
+def near_pairs(fps: DataFrame, segments: int = SEGMENTS, reach: int = REACH, hot: int = HOT) -> DataFrame:
+    """(a, b), a < b: pairs of distinct fingerprints (column fp) at `reach` or fewer differing bits, enough to connect all such.
+
+    There is a table for each segment, keyed by (segment, its value). Two fingerprints within reach differ in one of the
+    segments by at most reach // segments bits. So each fingerprint enumerates the ball of that radius within each of its
+    segments, fetches the entries of these values, and each match is verified by its whole distance. An entry with more
+    than `hot` fingerprints would pair too many: what reaches such an entry goes by _whole_balls, which links the same.
+    """
+    masks, radius = segment_masks(segments), reach // segments
+    at = lambda s, flip, mask: F.struct(F.lit(s).alias("s"), F.lit(_signed(flip)).alias("flip"), F.lit(_signed(mask)).alias("mask"))
+    value = F.col("fp").bitwiseXOR(F.col("x.flip")).bitwiseAND(F.col("x.mask")).alias("value")
+    keyed = lambda ways: fps.select("fp", F.explode(F.array(*ways)).alias("x")).select("fp", F.col("x.s").alias("s"), value)
+    table = keyed([at(s, 0, m) for s, m in enumerate(masks)])
+    lookups = keyed([at(s, flip, m) for s, m in enumerate(masks) for flip in ball(m, radius)])
+    crowded = materialize(table.groupBy("s", "value").count().filter(F.col("count") > hot).select("s", "value"), "crowded")
+    crowds = not crowded.isEmpty()
+    cold = lookups.join(crowded, ["s", "value"], "left_anti") if crowds else lookups
+    met = cold.withColumnRenamed("fp", "a").join(table.withColumnRenamed("fp", "b"), ["s", "value"])
+    pairs = met.filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= reach)).select("a", "b").distinct()
+    if crowds:
+        pairs = pairs.union(_whole_balls(lookups.join(crowded, ["s", "value"], "left_semi").select("fp").distinct(), reach)).distinct()
+    return pairs
+
+
+def _whole_balls(fps: DataFrame, reach: int) -> DataFrame:
+    """(a, b): links that connect all of these fingerprints within reach, however crowded.
+
+    Two such have a common neighbour at most (reach + 1) // 2 bits from each, so the ball of that radius around each
+    whole fingerprint is one table. An entry's members are few and lie near each other: they are verified and chained.
     """
-    bits = 64 // SEGMENTS
-    balls = [F.array(*[F.lit(int(np.uint64(1 << (s * bits + k)).astype(np.int64))) for k in range(bits)]) for s in range(SEGMENTS)]
-    variants = fps.select("fp", F.explode(F.concat(F.array(F.lit(0).cast("long")), *balls)).alias("flip"))
-    keyed = variants.select(F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"), "fp")
-    chained = keyed.select(F.col("fp").alias("b"), F.lag("fp").over(Window.partitionBy("variant").orderBy("fp")).alias("a"))
-    return chained.filter("a is not null and bit_count(a ^ b) <= 2").select("a", "b").distinct()
+    flips = F.array(*[F.lit(_signed(x)) for x in ball((1 << 64) - 1, (reach + 1) // 2)])
+    keyed = fps.select("fp", F.explode(flips).alias("flip")).select(F.col("fp").bitwiseXOR(F.col("flip")).alias("value"), "fp")
+    chained = keyed.select(F.lag("fp").over(Window.partitionBy("value").orderBy("fp")).alias("a"), F.col("fp").alias("b"))
+    return chained.filter(F.col("a").isNotNull() & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= reach)).select("a", "b").distinct()
 
 
-def simhash_groups(docs: DataFrame) -> DataFrame:
+def simhash_groups(docs: DataFrame, segments: int = SEGMENTS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs.
 
     fingerprint: 16 lowercase hex digits; component_id: the least doc_id reachable through links, itself included.
     Repeated rows and equal texts share a fingerprint and so a component; a null doc_id is no component's id, so
     component_id is null where a component has no other. Documents without words share fingerprint zero and are linked
-    like any other. An empty table gives no row.
+    like any other. A text of any length is read whole, in pieces. Other columns of docs, whatever their names, play no
+    part. An empty table gives no row.
     """
     marks = materialize(fingerprints(docs), "simhash")
     distinct = marks.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(near_pairs(distinct.select("fp"))).select(F.col("node").alias("fp"), "root")
+    roots = components(near_pairs(distinct.select("fp"), segments)).select(F.col("node").alias("fp"), "root")
     rooted = materialize(distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = rooted.join(least, "root").select("fp", "component_id")
@@ -93,111 +144,155 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 
 # ---- near copies by similarity: wide fingerprints of five-word shingles
 
-#: Words of a shingle, least Jaccard similarity of the sets, 64-bit parts of a wide fingerprint.
-WIDE_SHINGLE, SIMILARITY, PARTS = 5, 0.8, 6
-#: Segments, bits of each, how many of a segment's bits count as uncertain, and how many of these are flipped at most.
-#: Two unrelated texts meet with a probability of 13 * 11 * 11 / 2**28, so that up to some 300 000 distinct texts their meetings are
-#: fewer than the texts; beyond that, take wider segments and more parts.
-WIDE_SEGMENTS, WIDE_BITS, UNCERTAIN, FLIPS = 13, 28, 4, 2
-#: Differing bits up to which a pair is certainly similar, and beyond which it certainly isn't: at 0.8 a pair differs in
-#: 59 of 384 bits, with a standard deviation of 7. Pairs between are compared by their sets.
-SURE, NEVER = 36, 90
+#: Words of a shingle, least Jaccard similarity of the sets.
+WIDE_SHINGLE, SIMILARITY = 5, 0.8
+
+
+class Layout(NamedTuple):
+    """How a wide fingerprint is cut: segments of so many bits, of which the `uncertain` ones whose counts are nearest to a
+    half are tried flipped, up to `flips` at once."""
+
+    segments: int
+    bits: int
+    uncertain: int
+    flips: int
+
+    @property
+    def parts(self) -> int:
+        """64-bit words of a fingerprint."""
+        return -(-self.segments * self.bits // 64)
+
+    @property
+    def variants(self) -> int:
+        """Keys of one text in one segment."""
+        return sum(math.comb(self.uncertain, k) for k in range(self.flips + 1))
+
+    @property
+    def chance(self) -> float:
+        """The expected number of entries in which two unrelated texts meet."""
+        return self.segments * self.variants**2 / 2.0**self.bits
+
+    @property
+    def sure(self) -> int:
+        """Differing bits up to which a pair is certainly similar: at 0.8 about 15.4 % of the bits differ, and of 384 bits
+        24 are five standard deviations below that."""
+        return self.parts * 4
+
+    @property
+    def never(self) -> int:
+        """Differing bits beyond which a pair certainly isn't similar, more than four standard deviations above."""
+        return self.parts * 15
+
+
+#: Each has about 95 % of the lone pairs at a similarity of 0.8 as candidates (simulated, see README), more above.
+LAYOUTS = (Layout(13, 28, 4, 2), Layout(13, 32, 6, 2), Layout(15, 36, 6, 3), Layout(12, 40, 8, 3), Layout(18, 44, 8, 3), Layout(27, 48, 8, 3))
 #: Texts of one block of a large table entry; blocks are compared two by two.
 BLOCK = 512
 
 
-def _wide(hashes: np.ndarray) -> np.ndarray:
-    """Margins of 64 * PARTS bits, each part from another mix of the distinct hashes."""
+def layout_for(texts: int) -> Layout:
+    """The layout with the least rows a text: its keys and, twice over, its chance meetings with all others."""
+    return min(LAYOUTS, key=lambda x: x.segments * x.variants + 2 * x.chance * texts)
+
+
+def _wide(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """Margins of 64 * parts bits, each part from another mix of the distinct hashes."""
     distinct = np.unique(hashes)
-    return np.concatenate([margins(mix(distinct * np.uint64(2 * k + 1) + np.uint64(k))) for k in range(PARTS)])
+    return np.concatenate([margins(mix(distinct * np.uint64(2 * k + 1) + np.uint64(k))) for k in range(parts)])
+
+
+def shingle_set(text: bytes | None) -> np.ndarray:
+    """The distinct hashes of a text's five-word shingles, in order."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text or b"", WIDE_SHINGLE)]))
 
 
-def _wide_marks(docs: DataFrame) -> DataFrame:
-    """(k2, f0..f3, low): each distinct text's wide fingerprint, and the places of its segments' least certain bits."""
+def _wide_marks(docs: DataFrame, layout: Layout) -> DataFrame:
+    """(id, k2, k3, k1, f0.., low), written: for each distinct text (k2, k3: its hash of 128 bits) a number of its own, the least doc_id,
+    its wide fingerprint, and the places of its segments' least certain bits."""
+    names = [f"f{k}" for k in range(layout.parts)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            m = np.stack([_wide(shingle_hashes(t or b"", WIDE_SHINGLE)) for t in b.column("text").cast(pa.binary()).to_pylist()])
-            parts = np.packbits(m > 0, axis=1).reshape(len(m), PARTS, 8).view(">i8")[:, :, 0].astype(np.int64)
-            segments = np.abs(m[:, : WIDE_SEGMENTS * WIDE_BITS]).reshape(len(m), WIDE_SEGMENTS, WIDE_BITS)
-            low = np.argsort(segments, axis=2, kind="stable")[:, :, :UNCERTAIN].astype(np.uint8).reshape(len(m), -1)
-            yield pa.RecordBatch.from_arrays([b.column("k2"), *[pa.array(np.ascontiguousarray(parts[:, k])) for k in range(PARTS)], pa.array([r.tobytes() for r in low], pa.binary())], ["k2", *[f"f{k}" for k in range(PARTS)], "low"])
+            m = np.stack([_wide(shingle_set(t), layout.parts) for t in b.column("text").cast(pa.binary()).to_pylist()])
+            parts = np.packbits(m > 0, axis=1).reshape(len(m), layout.parts, 8).view(">i8")[:, :, 0].astype(np.int64)
+            segments = np.abs(m[:, : layout.segments * layout.bits]).reshape(len(m), layout.segments, layout.bits)
+            low = np.argsort(segments, axis=2, kind="stable")[:, :, : layout.uncertain].astype(np.uint8).reshape(len(m), -1)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("k1", "k2", "k3")), *[pa.array(np.ascontiguousarray(parts[:, k])) for k in range(layout.parts)], pa.array([r.tobytes() for r in low], pa.binary())], ["k1", "k2", "k3", *names, "low"])
 
-    marks = docs.select(F.xxhash64("text").alias("k2"), "text").mapInArrow(run, "k2 long, " + ", ".join(f"f{k} long" for k in range(PARTS)) + ", low binary")
-    return marks.groupBy("k2").agg(*[F.first(c).alias(c) for c in marks.columns[1:]])
+    k2, k3 = keys128("text")
+    marks = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("k1"), k2.alias("k2"), k3.alias("k3"), "text").mapInArrow(run, "k1 long, k2 long, k3 long, " + ", ".join(f"{c} long" for c in names) + ", low binary")
+    one = marks.groupBy("k2", "k3").agg(F.min("k1").alias("k1"), *[F.first(c).alias(c) for c in (*names, "low")])
+    return materialize(one.select(F.monotonically_increasing_id().alias("id"), "k2", "k3", "k1", *names, "low"), "wide")
 
 
-def _keys(marks: DataFrame, *carried: str) -> DataFrame:
-    """(key, k2, carried columns of longs): for each segment its value with up to FLIPS of its least certain bits flipped: the part of the segment's
-    Hamming ball in which near copies lie. Both sides enumerate, so two texts meet if the bits in which their segments
-    differ are uncertain in one of them, FLIPS in each at most."""
+def _keys(marks: DataFrame, layout: Layout, *carried: str) -> DataFrame:
+    """(key, id, carried columns of longs): for each segment its value with up to `flips` of its least certain bits flipped: the part of the
+    segment's Hamming ball in which near copies lie. Both sides enumerate, so two texts meet if the bits in which their segments
+    differ are uncertain in one of them, `flips` in each at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = 1 << np.arange(WIDE_BITS - 1, -1, -1, dtype=np.int64)
-        chosen = (np.arange(1 << UNCERTAIN)[:, None] >> np.arange(UNCERTAIN)) & 1
-        chosen = chosen[chosen.sum(1) <= FLIPS]
+        weight = 1 << np.arange(layout.bits - 1, -1, -1, dtype=np.int64)
+        chosen = (np.arange(1 << layout.uncertain)[:, None] >> np.arange(layout.uncertain)) & 1
+        chosen = chosen[chosen.sum(1) <= layout.flips]
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 part = b.slice(at, 2048)
                 n = part.num_rows
-                words = np.stack([part.column(1 + k).to_numpy() for k in range(PARTS)], 1).astype(">i8")
-                bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(n, -1), axis=1)[:, : WIDE_SEGMENTS * WIDE_BITS].reshape(n, WIDE_SEGMENTS, WIDE_BITS)
-                low = np.frombuffer(b"".join(part.column(1 + PARTS).to_pylist()), np.uint8).reshape(n, WIDE_SEGMENTS, UNCERTAIN)
+                words = np.stack([part.column(1 + k).to_numpy() for k in range(layout.parts)], 1).astype(">i8")
+                bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(n, -1), axis=1)[:, : layout.segments * layout.bits].reshape(n, layout.segments, layout.bits)
+                low = np.frombuffer(b"".join(part.column(1 + layout.parts).to_pylist()), np.uint8).reshape(n, layout.segments, layout.uncertain)
                 values = bits @ weight
                 keys = values[:, :, None] ^ (weight[low] @ chosen.T)
-                keys += (np.arange(WIDE_SEGMENTS, dtype=np.int64) << WIDE_BITS)[None, :, None]
-                rest = [pa.array(np.repeat(part.column(k).to_numpy(), WIDE_SEGMENTS * len(chosen))) for k in (0, *range(2 + PARTS, part.num_columns))]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), *rest], ["key", "k2", *carried])
-
-    columns = ["k2", *[f"f{k}" for k in range(PARTS)], "low", *carried]
-    return marks.select(*columns).mapInArrow(run, ", ".join(f"{c} long" for c in ("key", "k2", *carried)))
-
-
-def _candidates(marks: DataFrame) -> DataFrame:
-    """(a, b, bits): pairs of one table entry, verified by their whole distance. An entry's texts are linked to its first, and
-    in small entries to its last, which unites most groups by few pairs; _open_pairs compares what is left apart. First
-    and last are partial aggregates joined back, so that an entry with many texts is split among tasks."""
-    keys = _keys(marks)
-    entries = keys.groupBy("key").agg(F.min("k2").alias("first"), F.max("k2").alias("last"), F.count("*").alias("n")).filter("n > 1")
-    link = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
-    both = F.array(link(F.col("first"), F.col("k2")), link(F.col("k2"), F.when(F.col("n") <= 8, F.col("last"))))
-    pairs = keys.join(entries, "key").select(F.explode(both).alias("p")).select("p.*").filter("a <> b").distinct()
-    names = [f"f{k}" for k in range(PARTS)]
-    one = marks.select(F.col("k2").alias("a"), *[F.col(c).alias(f"a_{c}") for c in names])
-    two = marks.select(F.col("k2").alias("b"), *names)
+                keys += (np.arange(layout.segments, dtype=np.int64) << layout.bits)[None, :, None]
+                rest = [pa.array(np.repeat(part.column(k).to_numpy(), layout.segments * len(chosen))) for k in (0, *range(2 + layout.parts, part.num_columns))]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), *rest], ["key", "id", *carried])
+
+    columns = ["id", *[f"f{k}" for k in range(layout.parts)], "low", *carried]
+    return marks.select(*columns).mapInArrow(run, ", ".join(f"{c} long" for c in ("key", "id", *carried)))
+
+
+def _candidates(marks: DataFrame, layout: Layout) -> DataFrame:
+    """(a, b): pairs of one table entry, verified by their whole distance. All texts of an entry are linked to its first, which
+    unites most groups by few pairs; _open_pairs compares what is left apart. The first is a partial aggregate joined
+    back, so that an entry with many texts is split among tasks."""
+    keys = _keys(marks, layout)
+    entries = keys.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    pairs = keys.join(entries, "key").filter("a <> id").select("a", F.col("id").alias("b")).distinct()
+    names = [f"f{k}" for k in range(layout.parts)]
+    one = marks.select(F.col("id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in names])
+    two = marks.select(F.col("id").alias("b"), *names)
     bits = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"a_{c}"))) for c in names), F.lit(0))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", bits.alias("bits")).filter(F.col("bits") <= NEVER)
+    return pairs.join(one, "a").join(two, "b").filter(bits <= layout.never).select("a", "b")
 
 
-def _open_pairs(marks: DataFrame) -> DataFrame:
+def _open_pairs(marks: DataFrame, layout: Layout) -> DataFrame:
     """(a, b, sure): pairs of one table entry whose texts have different roots (column root of marks), all with all.
 
     An entry whose texts have one root is settled. Others are dealt into blocks of about BLOCK texts by hash, and each
     pair of blocks is compared by whole distance in one place, so no task holds more than two blocks. Sure pairs come as
-    one link a text to the least of those they unite in the two blocks; pairs up to NEVER bits that these leave apart
-    come one by one.
+    links that unite all of those in the two blocks; pairs up to layout.never bits that these leave apart come one by one.
     """
-    names = [f"f{k}" for k in range(PARTS)]
-    keys = _keys(marks, "root")
+    names = [f"f{k}" for k in range(layout.parts)]
+    keys = _keys(marks, layout, "root")
     mixed = keys.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low <> high")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = keys.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("k2", F.lit(1)), F.col("blocks")).cast("int"))
-    dealt = dealt.select("key", "k2", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "k2").join(marks.select("k2", "root", *names), "k2")
-    placed = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own").select("key", "i", "j", "own", "k2", "root", *names)
+    dealt = keys.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int"))
+    dealt = dealt.select("key", "id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id").join(marks.select("id", "root", *names), "id")
+    placed = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own").select("key", "i", "j", "own", "id", "root", *names)
 
     def compared(m: np.ndarray) -> np.ndarray:
-        """Rows (a, b, sure) of two blocks' rows (own, k2, root, fingerprint)."""
-        own, k2, root, words = m[:, 0], m[:, 1], m[:, 2], m[:, 3:].view(np.uint64)
+        """Rows (a, b, sure) of two blocks' rows (own, id, root, fingerprint)."""
+        own, ids, root, words = m[:, 0], m[:, 1], m[:, 2], m[:, 3:].view(np.uint64)
         two = np.searchsorted(own, own[-1])  # if blocks differ, only pairs between them: the rest is compared elsewhere
         x, y = (slice(0, two), slice(two, len(m))) if two else (slice(0, len(m)), slice(0, len(m)))
         bits = np.zeros((x.stop - x.start, y.stop - y.start), np.int16)
-        for k in range(PARTS):
+        for k in range(layout.parts):
             bits += np.bitwise_count(words[x, k][:, None] ^ words[y, k][None, :])
         bits[root[x][:, None] == root[y][None, :]] = 1 << 14
         label = np.unique(root, return_inverse=True)[1].reshape(-1)  # united already
         first = np.arange(len(m))
-        a, b = np.nonzero(bits <= SURE)
+        a, b = np.nonzero(bits <= layout.sure)
         a, b = a + x.start, b + y.start
         links = []
         while len(a):
@@ -208,14 +303,14 @@ def _open_pairs(marks: DataFrame) -> DataFrame:
             # one pair for each two labels, which then become one: each link unites two
             high, low = np.maximum(label[a], label[b]), np.minimum(label[a], label[b])
             at = np.unique(high, return_index=True)[1]
-            links.append(np.stack([k2[a[at]], k2[b[at]], np.ones(len(at), np.int64)], 1))
+            links.append(np.stack([ids[a[at]], ids[b[at]], np.ones(len(at), np.int64)], 1))
             to = np.arange(label.max() + 1)
             to[high[at]] = low[at]
             while (to[to] != to).any():
                 to = to[to]
             label = to[label]
-        a, b = np.nonzero((bits > SURE) & (bits <= NEVER) & (label[x][:, None] != label[y][None, :]))
-        a, b = k2[first[x][a]], k2[first[y][b]]
+        a, b = np.nonzero((bits > layout.sure) & (bits <= layout.never) & (label[x][:, None] != label[y][None, :]))
+        a, b = ids[first[x][a]], ids[first[y][b]]
         links.append(np.stack([a, b, np.zeros(len(a), np.int64)], 1))
         out = np.concatenate(links)
         out[:, :2].sort(axis=1)
@@ -259,20 +354,20 @@ def _open_pairs(marks: DataFrame) -> DataFrame:
     return placed.mapInArrow(run, "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure"))
 
 
-def _similar(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _similar(docs: DataFrame, marks: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets of five-word shingles have a Jaccard similarity of SIMILARITY or more.
 
-    Only their texts are read again. Pairs are dealt into cells by hash of both ends, so a set goes once into a cell and
-    not once with each pair; cells have some hundred pairs each.
+    Only their texts are read again, each from the rows with its least doc_id. Pairs are dealt into cells by hash of both
+    ends, so a set goes once into a cell and not once with each pair; cells have some hundred pairs each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            sets = [np.unique(shingle_hashes(t or b"", WIDE_SHINGLE)).view(np.int64) for t in b.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("k2"), pa.array(sets, pa.list_(pa.int64()))], ["k2", "s"])
+            sets = [shingle_set(t).view(np.int64) for t in b.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
 
     def verify(left: pa.Table, right: pa.Table) -> pa.Table:
-        at = {k: n for n, k in enumerate(right.column("k2").to_pylist())}
+        at = {k: n for n, k in enumerate(right.column("id").to_pylist())}
         chunks = right.column("s").combine_chunks()
         flat, offs = chunks.values.to_numpy().view(np.uint64), chunks.offsets.to_numpy()
         a, b = left.column("a").to_pylist(), left.column("b").to_pylist()
@@ -288,40 +383,44 @@ def _similar(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             keep[n] = common >= SIMILARITY * (len(x) + len(y) - common)
         return left.select(["a", "b"]).filter(pa.array(keep))
 
-    wanted = pairs.select(F.col("a").alias("k2")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.xxhash64("text").alias("k2"), "text").join(wanted, "k2", "left_semi").dropDuplicates(["k2"])
-    sets = materialize(texts.mapInArrow(run, "k2 long, s array<long>"), "shingles")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    wanted = marks.select("id", "k1", "k2", "k3").join(ids, "id", "left_semi")
+    k2, k3 = keys128("text")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("k1"), k2.alias("k2"), k3.alias("k3"), "text")
+    texts = rows.join(wanted, ["k1", "k2", "k3"]).select("id", "text").dropDuplicates(["id"])
+    sets = materialize(texts.mapInArrow(run, "id long, s array<long>"), "shingles")
     side = max(1, math.isqrt(pairs.count() // 200))
     cell = lambda c: F.pmod(F.xxhash64(c, F.lit(2)), F.lit(side))
     dealt = pairs.select((cell("a") * side + cell("b")).alias("cell"), "a", "b")
-    need = dealt.select("cell", F.explode(F.array("a", "b")).alias("k2")).distinct().join(sets, "k2").select(F.col("cell").alias("at"), "k2", "s")
+    need = dealt.select("cell", F.explode(F.array("a", "b")).alias("id")).distinct().join(sets, "id").select(F.col("cell").alias("at"), "id", "s")
     return dealt.groupBy("cell").cogroup(need.groupBy("at")).applyInArrow(verify, "a long, b long")
 
 
-def near_copy_groups(docs: DataFrame) -> DataFrame:
-    """(k2, root): the group of each distinct text (k2: its xxhash64) by similarity of five-word shingles of at least SIMILARITY.
+def near_copy_groups(docs: DataFrame, layout: Layout | None = None) -> DataFrame:
+    """(id, k2, k3, k1, root): each distinct text (k2, k3: its hash of 128 bits, k1: its least doc_id) and the group that it belongs to by
+    similarity of five-word shingles of at least SIMILARITY.
 
-    Wide fingerprints (384 bits of the distinct shingles, A-Z in lower case) are cut into segments; each segment's least
-    certain bits are enumerated, table matches are verified by whole distance, and what the distance leaves open between
-    different groups by the sets themselves. This is done twice: first each entry's texts with its first, which unites most
-    groups by few pairs, then all with all where an entry still holds different groups. Of pairs at a similarity of 0.8 about 95 %
-    become candidates (simulated), of more similar ones more. Null and blank texts, which have no shingle, are one group; texts of fewer than
-    five words are one shingle.
+    Wide fingerprints of the distinct shingles (A-Z in lower case) are cut into segments; each segment's least certain
+    bits are enumerated, table matches are verified by whole distance, and then by the sets themselves. This is done
+    twice: first each entry's texts with its first, which unites most groups by few pairs, then all with all where an
+    entry still holds different groups; there only the links of pairs within layout.sure bits, which unite them, go
+    without a look at the sets. The layout follows from the number of rows. Of pairs at a similarity of 0.8 about 95 %
+    become candidates (simulated), of more similar ones more. Null and blank texts, which have no shingle, are one group;
+    texts of fewer than five words are one shingle.
     """
-    marks = materialize(_wide_marks(docs), "wide")
-    found = materialize(_candidates(marks), "candidates")
-    sure = found.filter(F.col("bits") <= SURE).select("a", "b")
-    links = materialize(sure.union(_similar(docs, _apart(found.filter(F.col("bits") > SURE), components(sure)))), "links")
+    layout = layout or layout_for(docs.count())
+    marks = _wide_marks(docs, layout)
+    links = materialize(_similar(docs, marks, materialize(_candidates(marks, layout), "candidates")), "links")
     rooted = materialize(_rooted(marks, components(links)), "rooted")
-    more = materialize(_open_pairs(rooted), "more")
+    more = materialize(_open_pairs(rooted, layout), "more")
     sure = links.union(more.filter("sure").select("a", "b"))
-    links = sure.union(_similar(docs, _apart(more.filter("not sure"), components(sure))))
-    return _rooted(marks, components(links)).select("k2", "root")
+    links = sure.union(_similar(docs, marks, _apart(more.filter("not sure"), components(sure))))
+    return _rooted(marks, components(links)).select("id", "k2", "k3", "k1", "root")
 
 
 def _rooted(marks: DataFrame, roots: DataFrame) -> DataFrame:
     """marks with the root of each text, itself where it has no link."""
-    return marks.join(roots.select(F.col("node").alias("k2"), "root"), "k2", "left").withColumn("root", F.coalesce("root", "k2"))
+    return marks.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -333,9 +432,11 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs without the near copies: of each group of near_copy_groups one row of its least doc_id stays (null ids last, ties by hash of the text)."""
-    k1, k2 = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), F.xxhash64("text")
-    least = docs.select(k1.alias("k1"), k2.alias("k2")).groupBy("k2").agg(F.min("k1").alias("k1"))
-    stay = least.join(near_copy_groups(docs), "k2").groupBy("root").agg(F.min(F.struct("k1", "k2")).alias("x")).select(F.col("x.k1").alias("__k1"), F.col("x.k2").alias("__k2"))
-    keyed = docs.withColumns({"__k1": k1, "__k2": k2})
-    return keyed.join(stay, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).select(*docs.columns)
+    """docs without the near copies: of each group of near_copy_groups one row of its least doc_id stays (null ids last, ties by hash of
+    the text; of rows equal in both any one). Other columns are kept, whatever their names; an empty table stays empty."""
+    names = spare(docs, "k1", "k2", "k3")
+    k2, k3 = keys128("text")
+    least = near_copy_groups(docs).groupBy("root").agg(F.min(F.struct("k1", "k2", "k3")).alias("x"))
+    stay = least.select(*[F.col(f"x.{c}").alias(n) for c, n in zip(("k1", "k2", "k3"), names, strict=True)])
+    keyed = docs.withColumns(dict(zip(names, (F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), k2, k3), strict=True)))
+    return keyed.dropDuplicates(names).join(stay, names, "left_semi").select(*docs.columns)

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from xxhash import xxh64_intdigest
 
-from tessera.llm import chat_format, packing, quality, queries, simhash, substring_dedup, token_output
+from tessera.llm import chat_format, common, packing, quality, queries, simhash, substring_dedup, token_output
 from tessera.llm.tokens import WordEncoder
 from tessera.llm.words import gram_hashes, slide_min, words_of
 
@@ -108,7 +108,8 @@ def test_simhash(spark):
     assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in got) == want
 
 
-def test_simhash_pairs_against_all_pairs(spark):
+@pytest.mark.parametrize("segments,hot", [(2, 1000), (2, 3), (3, 1000), (3, 1), (4, 1000), (8, 5)])
+def test_simhash_pairs_against_all_pairs(spark, segments, hot):
     rng = np.random.default_rng(3)
     base = rng.integers(-(1 << 62), 1 << 62, 30)
     fps = {int(b) for b in base}
@@ -118,7 +119,7 @@ def test_simhash_pairs_against_all_pairs(spark):
             for k in rng.integers(0, 63, rng.integers(1, 4)):
                 x ^= 1 << int(k)
             fps.add(x)
-    pairs = {tuple(sorted(r)) for r in simhash.near_pairs(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()}
+    pairs = {tuple(sorted(r)) for r in simhash.near_pairs(spark.createDataFrame([(f,) for f in fps], "fp long"), segments, hot=hot).collect()}
     parent = {f: f for f in fps}
 
     def find(p, x):
@@ -159,11 +160,12 @@ def similar_groups(rows):
     return list(out.values())
 
 
-def test_one_near_copy_stays(spark):
-    got = simhash.drop_near_copies(docs(spark, "__k3")).collect()
+@pytest.mark.parametrize("clash", ["k1", "K2", "root"])
+def test_one_near_copy_stays(spark, clash):
+    got = simhash.drop_near_copies(docs(spark, clash)).collect()
     want = {min((r[0] for r in g if r[0] is not None), default=None) for g in similar_groups(ROWS)}
     assert {r.doc_id for r in got} == want and len(got) == len(want)
-    assert all(r["__k3"] in ("clash", None) for r in got)
+    assert all(r[clash] in ("clash", None) for r in got)
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -199,7 +201,8 @@ def test_near_copies_within_a_family(spark):
     assert len(got) <= 1501, len(got) - 1500
 
 
-def test_candidates_at_the_least_similarity(spark):
+@pytest.mark.parametrize("layout", [simhash.LAYOUTS[0], simhash.LAYOUTS[1], simhash.LAYOUTS[2]])
+def test_candidates_at_the_least_similarity(spark, layout):
     """Of lone pairs at 0.8 at least nine in ten become candidates."""
     rng = np.random.default_rng(11)
     rows = []
@@ -209,11 +212,47 @@ def test_candidates_at_the_least_similarity(spark):
         cut = round((n - 4) / 9)  # n - 4 shingles, a ninth of them replaced: 8 / 10
         rows += [(2 * k, " ".join(own), None, None, None, None), (2 * k + 1, " ".join(own[:-cut] + [f"r{k}x{x}" for x in range(cut)]), None, None, None, None)]
     ds = docs(spark, rows=rows)
-    keys = {r.k2: r.doc_id for r in ds.selectExpr("doc_id", "xxhash64(text) k2").collect()}
-    found = {tuple(sorted((keys[r.a], keys[r.b]))) for r in simhash._candidates(simhash._wide_marks(ds)).collect()}
+    marks = simhash._wide_marks(ds, layout)
+    keys = {r.id: r.k1 for r in marks.collect()}
+    found = {tuple(sorted((keys[r.a], keys[r.b]))) for r in simhash._candidates(marks, layout).collect()}
     assert sum((2 * k, 2 * k + 1) in found for k in range(400)) >= 360, sum((2 * k, 2 * k + 1) in found for k in range(400))
 
 
+def test_layouts_follow_the_count():
+    chosen = [simhash.layout_for(n) for n in (0, 10**5, 10**7, 10**8, 10**9, 10**10)]
+    assert [x.bits for x in chosen] == sorted(x.bits for x in chosen) and chosen[0] == simhash.LAYOUTS[0] and chosen[-1].bits >= 44
+    assert all(x.segments * x.bits <= 64 * x.parts for x in simhash.LAYOUTS)
+
+
+def test_texts_of_one_entry_meet_wherever_they_stand(spark):
+    """Two like texts of an entry whose first belongs to neither find each other, whatever its size."""
+    layout = simhash.LAYOUTS[0]
+    fill = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, (12, layout.parts))
+    for n in (3, 8, 9, 12):
+        f = fill[:n].copy()
+        f[n // 2] = f[n - 1]
+        f[:, 0] = (f[:, 0] & ((1 << 36) - 1)) | (5 << 36)  # one value in the first segment
+        rows = [(k, 0, k, k, *map(int, f[k]), bytes(range(layout.uncertain)) * layout.segments, k) for k in range(n)]
+        marks = spark.createDataFrame(rows, "id long, k1 long, k2 long, k3 long, " + ", ".join(f"f{k} long" for k in range(layout.parts)) + ", low binary, root long")
+        found = {(r.a, r.b) for r in simhash._open_pairs(marks, layout).collect()}
+        assert (n // 2, n - 1) in found, n
+
+
+def test_very_long_texts(spark):
+    """Pieces give what the whole text gives."""
+    rng = np.random.default_rng(8)
+    text = " ".join(f"w{x}" for x in rng.integers(0, 5000, 3000)) + " \t " + "longword" * 40
+    whole, piece = simhash.fingerprint(text.encode()), common.cut_at_spaces
+    for most in (64, 333, 1000):
+        assert b"".join(common.cut_at_spaces(text.encode(), most)) == text.encode()
+        simhash.cut_at_spaces = lambda raw, most=most: piece(raw, most)
+        try:
+            assert simhash.fingerprint(text.encode()) == whole == plain_fingerprint(text)
+            assert [simhash.fingerprint(x.encode()) for x in ("a b", "a b c d", " ", "one")] == [plain_fingerprint(x) for x in ("a b", "a b c d", " ", "one")]
+        finally:
+            simhash.cut_at_spaces = piece
+
+
 def test_quality(spark):
     out = {}
     for r in quality.quality(docs(spark, "n_words")).collect():
