@@ -1,185 +1,325 @@
 """Substring dedup by relative Lempel-Ziv parsing against indexed reference blocks.
 
-The reference is the whole corpus. A block holds every place that shares an anchor, and blocks are dealt out by anchor:
-the anchor of a window (WINDOW words in sequence) is the least hash of its GRAM-word sequences, so equal windows have
-equal anchors and a document meets every block that can hold a match for it, and no other. A document's windows reach
-the blocks in runs of one anchor. In its block a run is parsed greedily: a factor is extended word by word while the
-next window is in the block's index at another place. A factor of one window or more (WINDOW words) is a duplicate
-span. A factor that ends at the edge of a run is continued by the next run's factor, whose first window is looked up in
-its own block, so nothing is lost at factor boundaries.
+The reference is the whole corpus, kept in blocks by anchor: the anchor of a window (WINDOW words in sequence) is the
+least hash of its GRAM-word sequences, so equal windows have equal anchors, and a document need be factored against no
+block but those of its own anchors. First the anchors alone are counted; only stretches of words whose anchor stands at
+two or more places of the corpus are read again and sent to their block.
+
+A block indexes the words of its stretches in a suffix array. A stretch is factored greedily: the factor at a place is
+its longest match at one other place of the block, found word by word; one of WINDOW words or more is a duplicate span.
+The next factor begins with the first window that crosses this one's end, so that a window across factor boundaries is
+checked by itself; a window across the edge of a stretch belongs to the next stretch and is checked in that one's block.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, materialize, slices
-from .words import gram_hashes, slide_min, word_hashes, words_of
+from .common import PIECE, cut_at_spaces, extended, keys128, materialize, slices, spare
+from .words import Words, gram_hashes, slide_min, word_hashes, words_of
 
 WINDOW, GRAM = 35, 12
-#: Windows of a block that are held at once. What a larger block holds beyond its repeats goes through a shuffle by window.
+#: Words of the blocks that are indexed at once.
 HELD = 1_000_000
+#: Places of one anchor above which its stretches are compared window by window, by a shuffle, and not in one block.
+CROWDED = 20_000
 _SPACE = bytes.maketrans(b"\x09\x0a\x0b\x0c\x0d", b"     ")
 
 
-def _keys(docs: DataFrame) -> DataFrame:
-    """docs with __k1, __k2 (never null), which only repeated rows share but for a collision of one doc_id's text hashes."""
-    return docs.withColumns({"__k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__k2": F.hash("text")})
+class Runs(NamedTuple):
+    words: Words
+    anchors: np.ndarray  #: of each run: a maximal stretch of one text's windows with one anchor
+    row: np.ndarray  #: its text's row
+    first: np.ndarray  #: its first word, among all words
+    place: np.ndarray  #: its first word, within its text
+    windows: np.ndarray  #: its windows
+    seen: np.ndarray  #: places at which its least sequence stands within it: 1, or more if that repeats
+
+
+def _parts(batch: pa.RecordBatch, window: int) -> Iterator[tuple[pa.Array, int]]:
+    """Texts of a batch (all of them; or a piece of a long one, which begins with the last windows' words of the piece before) and the
+    number of words before the first."""
+    texts = batch.column(batch.schema.get_field_index("text"))
+    if len(texts) > 1 or not texts[0].is_valid or len(texts[0].as_buffer()) <= PIECE:
+        yield texts, 0
+        return
+    carried: list[bytes] = []
+    before = 0
+    for piece in cut_at_spaces(texts[0].as_buffer().to_pybytes()):
+        own = carried + [w for w in piece.translate(_SPACE).split(b" ") if w]
+        yield pa.array([b" ".join(own)], pa.large_binary()).cast(pa.large_string()), before
+        carried = own[max(0, len(own) - window + 1) :]
+        before += len(own) - len(carried)
+
+
+def _runs(texts: pa.Array, window: int, gram: int) -> Runs | None:
+    words = words_of(texts)
+    if len(words.which) < window:
+        return None
+    grams = gram_hashes(word_hashes(words), gram)
+    least = slide_min(grams, window - gram + 1)
+    ends = np.cumsum(words.counts)
+    doc = np.repeat(np.arange(len(ends)), words.counts)[: len(least)]
+    inside = np.arange(len(least)) + window <= ends[doc]
+    ok = np.flatnonzero(inside)
+    if not len(ok):
+        return None
+    # a place's sequence is chosen if it is the least of a window around it, that is, the greatest of these windows' least ones
+    least[~inside] = 0
+    room = np.zeros(window - gram, np.uint64)
+    top = ~slide_min(~np.concatenate([room, least, room]), window - gram + 1)
+    chosen = np.concatenate([[0], np.cumsum((top == grams[: len(top)]) & (grams[: len(top)] > 0))])
+    anchors, doc = least[ok], doc[ok]
+    first = np.flatnonzero(np.concatenate([[True], (anchors[1:] != anchors[:-1]) | (doc[1:] != doc[:-1])]))
+    windows = np.diff(np.concatenate([first, [len(ok)]]))
+    begin = ok[first]
+    seen = chosen[begin + windows + window - gram] - chosen[begin]
+    return Runs(words, anchors[first], doc[first], begin, begin - (ends - words.counts)[doc[first]], windows, np.maximum(seen, 1))
 
 
-def _runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(anchor, k1, k2, pos, prints): each maximal run of one document's windows with one anchor, its windows' 64-bit prints in sequence."""
+def _anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """(anchor, ka, n): how often (at most 2) each anchor is chosen in each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            words = words_of(b.column("text"))
-            if len(words.which) < window:
-                continue
-            h = word_hashes(words)
-            prints, anchors = gram_hashes(h, window), slide_min(gram_hashes(h, gram), window - gram + 1)
-            ends = np.cumsum(words.counts)
-            doc = np.repeat(np.arange(len(ends)), words.counts)[: len(prints)]
-            place = np.arange(len(prints))
-            ok = np.flatnonzero(place + window <= ends[doc])
-            if not len(ok):
-                continue
-            prints, anchors, doc, place = prints[ok], anchors[ok], doc[ok], place[ok] - (ends - words.counts)[doc[ok]]
-            first = np.flatnonzero(np.concatenate([[True], (anchors[1:] != anchors[:-1]) | (doc[1:] != doc[:-1])]))
-            offsets = np.concatenate([first, [len(prints)]]).astype(np.int32) * 8
-            packed = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(prints.tobytes())])
-            which = pa.array(doc[first])
-            yield pa.RecordBatch.from_arrays([pa.array(anchors[first].view(np.int64)), b.column("k1").take(which), b.column("k2").take(which), pa.array(place[first].astype(np.int32)), packed], ["anchor", "k1", "k2", "pos", "prints"])
+            keys = b.column(0).to_numpy()
+            for texts, _ in _parts(b, window):
+                found = _runs(texts, window, gram)
+                if found is None:
+                    continue
+                # runs of one anchor in one text that follow each other may share the chosen place; count each run once, and its own repeats
+                yield pa.RecordBatch.from_arrays([pa.array(found.anchors.view(np.int64)), pa.array(keys[found.row]), pa.array(np.minimum(found.seen, 2).astype(np.int32))], ["anchor", "ka", "n"])
 
-    return docs.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), "text").mapInArrow(run, "anchor long, k1 long, k2 int, pos int, prints binary")
+    return docs.select("ka", "text").mapInArrow(run, "anchor long, ka long, n int")
 
 
-def _parse(runs: DataFrame, window: int, held: int) -> DataFrame:
-    """Rows of factors (kind 0: words pos to stop of a document) and of windows left for a shuffle by window (kind 1)."""
-    schema = "kind int, k1 long, k2 int, pos int, stop int, anchor long, print long, n int"
+def _stretches(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """(anchor, ka, kb, pos, words) of the runs of docs (ka, kb, anchors, text) whose anchor is among the text's listed ones: words are
+    those of all windows, joined by one space."""
+
+    def marked(anchors: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        return anchors ^ (rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(kind, k1, k2, pos, stop, anchor, mark, n) -> pa.RecordBatch:
-            full = lambda x, t: pa.array(np.broadcast_to(np.asarray(x, t), pos.shape).copy())
-            return pa.RecordBatch.from_arrays([full(kind, np.int32), full(k1, np.int64), full(k2, np.int32), full(pos, np.int32), full(stop, np.int32), full(anchor, np.int64), full(mark, np.int64), full(n, np.int32)], ["kind", "k1", "k2", "pos", "stop", "anchor", "print", "n"])
-
-        def flat(chunk: list[tuple]) -> tuple:
-            """Windows of runs, one by one: anchor, print, k1, k2, place, times seen."""
-            a, k1, k2, pos, prints, n, sizes = (np.concatenate(x) for x in zip(*chunk, strict=True))
-            at = np.repeat(pos, sizes) + (np.arange(len(prints)) - np.repeat(np.cumsum(sizes) - sizes, sizes))
-            return np.repeat(a, sizes), prints, np.repeat(k1, sizes), np.repeat(k2, sizes), at.astype(np.int32), n
-
-        def factors(w: tuple) -> tuple:
-            """Factors of the windows that are seen twice or more, and one window for each print seen."""
-            a, prints, k1, k2, at, n = w
-            key = prints ^ (a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            order = np.argsort(key, kind="stable")
-            first = np.concatenate([[True], (prints[order[1:]] != prints[order[:-1]]) | (a[order[1:]] != a[order[:-1]])])
-            group = np.cumsum(first) - 1
-            seen = np.add.reduceat(n[order], np.flatnonzero(first))
-            twice = np.zeros(len(key), bool)
-            twice[order] = seen[group] >= 2
-            hit = np.flatnonzero(twice)
-            step = np.concatenate([[True], (np.diff(hit) != 1) | (a[hit[1:]] != a[hit[:-1]]) | (k1[hit[1:]] != k1[hit[:-1]]) | (k2[hit[1:]] != k2[hit[:-1]]) | (at[hit[1:]] != at[hit[:-1]] + 1)]) if len(hit) else np.zeros(0, bool)
-            begin = hit[step]
-            last = hit[np.concatenate([np.flatnonzero(step)[1:] - 1, [len(hit) - 1]])] if len(hit) else begin
-            one = order[first]
-            return out(0, k1[begin], k2[begin], at[begin], at[last] + window, 0, 0, 0), (a[one], prints[one], k1[one], k2[one], at[one], np.minimum(seen, 2).astype(np.int32))
-
-        def left(w: tuple) -> pa.RecordBatch:
-            a, prints, k1, k2, at, n = w
-            return out(1, k1, k2, at, at + window, a, prints.view(np.int64), n)
-
-        chunk: list[tuple] = []
-        size, over = 0, None
+        for b in slices(batches, "text"):
+            ka, kb, lists = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            wanted = marked(lists.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(lists)), sizes))
+            for texts, before in _parts(b, window):
+                found = _runs(texts, window, gram)
+                if found is None:
+                    continue
+                hit = np.flatnonzero(np.isin(marked(found.anchors, found.row), wanted))
+                size = found.windows[hit] + window - 1
+                for x in range(0, len(hit), 1 << 14):
+                    at, n = hit[x : x + (1 << 14)], size[x : x + (1 << 14)]
+                    ends = np.cumsum(n)
+                    index = np.arange(ends[-1]) + np.repeat(found.first[at] - (ends - n), n)
+                    each = found.words.distinct.take(pa.array(found.words.which[index]))
+                    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), each), pa.scalar(" ", pa.large_string())).cast(pa.large_binary()).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(found.anchors[at].view(np.int64)), pa.array(ka[found.row[at]]), pa.array(kb[found.row[at]]), pa.array(found.place[at] + before), joined], ["anchor", "ka", "kb", "pos", "words"])
+
+    return docs.select("ka", "kb", "anchors", "text").mapInArrow(run, "anchor long, ka long, kb long, pos long, words binary")
+
+
+class Factors(NamedTuple):
+    stretch: np.ndarray  #: which stretch
+    begin: np.ndarray  #: its first word there
+    length: np.ndarray  #: its words
+    source: np.ndarray  #: the stretch that it is copied from (another copy of itself if that is the same one at the same place)
+    source_begin: np.ndarray  #: where in that one
+
+
+def factors(stretches: pa.Array, copies: np.ndarray, window: int = WINDOW) -> Factors:
+    """The greedy factors of `window` words or more of each stretch, against all places of the same block, by their very words.
+
+    stretches: words joined by one space, distinct; copies: how often each stands in the corpus. Suffixes that begin a
+    window are sorted by prefix doubling over numbered words (each stretch ends in a number of its own), so that a
+    suffix's longest match is with a neighbour in that order; of a match beyond 64 words 64 to 95 may be taken, and the next factor goes on from there.
+    """
+    words = words_of(stretches.cast(pa.large_binary()).cast(pa.large_string()))
+    counts, n = words.counts, len(words.counts)
+    starts = np.cumsum(counts + 1) - (counts + 1)
+    total = int((counts + 1).sum())
+    base = np.empty(total, np.int64)
+    stretch_of = np.repeat(np.arange(n), counts + 1)
+    closing = starts + counts
+    inner = np.ones(total, bool)
+    inner[closing] = False
+    base[inner], base[closing] = words.which, len(words.distinct) + np.arange(n)
+    ranks, size = {1: np.unique(base, return_inverse=True)[1]}, 1
+    while size < 32:
+        r = ranks[size]
+        ranks[2 * size] = np.unique(r * (total + 1) + np.concatenate([r[size:], np.zeros(min(size, total), np.int64)])[:total], return_inverse=True)[1]
+        size *= 2
+    windows = np.maximum(counts - window + 1, 0)
+    at = np.repeat(starts - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
+    last = total - 1
+    order = at[np.lexsort((ranks[32][np.minimum(at + 32, last)], ranks[32][at]))]
+    one, two = order[:-1], order[1:]
+    common = np.zeros(len(one), np.int64)
+    for k in (32, 32, 16, 8, 4, 2, 1):
+        common += k * (ranks[k][np.minimum(one + common, last)] == ranks[k][np.minimum(two + common, last)])
+    longest, source = np.zeros(total, np.int64), np.zeros(total, np.int64)
+    longest[two], source[two] = common, one
+    better = common > longest[one]
+    longest[one[better]], source[one[better]] = common[better], two[better]
+    again = copies[stretch_of] > 1
+    longest[again], source[again] = (closing[stretch_of] - np.arange(total))[again], np.flatnonzero(again)
+    # from each place the next one whose factor is long enough; all stretches step from factor to factor together
+    able = np.full(total + 1, total)
+    able[at[longest[at] >= window]] = at[longest[at] >= window]
+    able = np.minimum.accumulate(able[::-1])[::-1]
+    now, found = starts[windows > 0], []
+    while len(now):
+        end = closing[stretch_of[now]]
+        now = able[now]
+        now = now[now < end]
+        if len(now):
+            found.append(now)
+            now = now + longest[now] - window + 1
+    begin = np.concatenate(found) if found else np.zeros(0, np.int64)
+    here, there = stretch_of[begin], stretch_of[source[begin]]
+    return Factors(here, begin - starts[here], longest[begin], there, source[begin] - starts[there])
+
+
+def _parse(blocks: DataFrame, window: int, held: int) -> DataFrame:
+    """(sa, sb, begin, length): the factors of stretches (anchor, sa, sb, n, words), which come in order of anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk: list[pa.RecordBatch] = []
+        size = 0
+
+        def parsed() -> pa.RecordBatch:
+            table = pa.Table.from_batches(chunk).combine_chunks()
+            # blocks that are indexed together cannot match each other: equal windows have equal anchors
+            f = factors(table.column("words").combine_chunks(), table.column("n").to_numpy(), window)
+            sa, sb = (table.column(c).to_numpy()[f.stretch] for c in ("sa", "sb"))
+            return pa.RecordBatch.from_arrays([pa.array(sa), pa.array(sb), pa.array(f.begin), pa.array(f.length)], ["sa", "sb", "begin", "length"])
+
         for b in batches:
-            a, k1, k2, pos = (b.column(k).to_numpy() for k in range(4))
-            col = b.column(4)
-            offs = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
-            prints = np.frombuffer(col.buffers()[2], np.uint64, (offs[-1] - offs[0]) // 8, offs[0])
-            sizes = np.diff(offs) // 8
+            if not b.num_rows:
+                continue
+            a = b.column(0).to_numpy()
+            bytes_ = pc.binary_length(b.column(4)).to_numpy(zero_copy_only=False)
             cut = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
             for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(a)], strict=True):
-                x, y = (int(offs[i] - offs[0]) // 8, int(offs[j] - offs[0]) // 8)
-                if chunk and chunk[-1][0][-1] != a[i] and (size >= held // 2 or over is not None):
-                    found, rest = factors(flat(chunk))
-                    yield found
-                    if over is not None:
-                        yield left(tuple(v[rest[0] == over] for v in rest))
-                    chunk, size, over = [], 0, None
-                if size + (y - x) > held and chunk:
-                    # one block above the bound: report its repeats, keep one window a print, or leave those to a shuffle
-                    found, rest = factors(flat(chunk))
-                    yield found
-                    rest = tuple(v[rest[0] == a[i]] for v in rest)
-                    chunk, size = [], 0
-                    if len(rest[0]) > held // 2:
-                        over = a[i]
-                        yield left(rest)
-                    elif len(rest[0]):
-                        chunk, size = [(rest[0], rest[2], rest[3], rest[4], rest[1], rest[5], np.ones(len(rest[0]), np.int64))], len(rest[0])
-                chunk.append((a[i:j], k1[i:j], k2[i:j], pos[i:j], prints[x:y], np.ones(y - x, np.int32), sizes[i:j]))
-                size += y - x
+                if chunk and size >= held * 6 and chunk[-1].column(0)[-1].as_py() != a[i]:
+                    yield parsed()
+                    chunk.clear()
+                    size = 0
+                chunk.append(b.slice(i, j - i))
+                size += int(bytes_[i:j].sum())
         if chunk:
-            found, rest = factors(flat(chunk))
-            yield found
-            if over is not None:
-                yield left(tuple(v[rest[0] == over] for v in rest))
+            yield parsed()
+
+    return blocks.select("anchor", "sa", "sb", "n", "words").mapInArrow(run, "sa long, sb long, begin long, length long")
+
 
-    return runs.mapInArrow(run, schema)
+def _crowded(stretches: DataFrame, window: int) -> DataFrame:
+    """(sa, sb, begin, length): each window of these stretches (anchor, sa, sb, n, words) that stands at two or more places.
 
+    Windows are grouped by their words, with partial sums, so that no task holds all places of a common one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "words", 1 << 18):
+            for sa, sb, n, words in zip(*(b.column(c).to_pylist() for c in ("sa", "sb", "n", "words")), strict=True):
+                each = words.split(b" ")
+                for x in range(0, len(each) - window + 1, 4096):
+                    own = [b" ".join(each[i : i + window]) for i in range(x, min(x + 4096, len(each) - window + 1))]
+                    full = lambda v, t: pa.array(np.full(len(own), v), t)  # noqa: E731, B023
+                    yield pa.RecordBatch.from_arrays([full(sa, pa.int64()), full(sb, pa.int64()), pa.array(np.arange(x, x + len(own))), full(n, pa.int64()), pa.array(own, pa.binary())], ["sa", "sb", "begin", "n", "words"])
+
+    each = materialize(stretches.select("sa", "sb", "n", "words").mapInArrow(run, "sa long, sb long, begin long, n long, words binary"), "crowded")
+    often = each.groupBy("words").agg(F.sum("n").alias("seen")).filter("seen > 1").select("words")
+    return each.join(often, "words", "left_semi").select("sa", "sb", "begin", F.lit(window).cast("long").alias("length"))
 
-def _spans(docs: DataFrame, window: int, gram: int, held: int) -> DataFrame:
-    """(__k1, __k2, __spans): the duplicate spans of each document that has any, as start and stop words."""
-    blocks = _runs(docs, window, gram).repartition("anchor").sortWithinPartitions("anchor")
-    found = materialize(_parse(blocks, window, held), "factors")
-    spans = found.filter("kind = 0").select("k1", "k2", "pos", "stop")
-    rest = found.filter("kind = 1")
-    if not rest.isEmpty():
-        twice = rest.groupBy("anchor", "print").agg(F.sum("n").alias("seen")).filter("seen >= 2").drop("seen")
-        spans = spans.union(rest.join(twice, ["anchor", "print"]).select("k1", "k2", "pos", "stop"))
-    return spans.distinct().groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(F.collect_list(F.struct("pos", "stop")).alias("__spans"))
 
+def _spans(docs: DataFrame, window: int, gram: int, held: int, crowded: int) -> DataFrame:
+    """(ka, kb, spans): the duplicate spans of each text of docs (ka, kb, text) that has any, as first and end words."""
+    docs = docs.filter(F.length("text") >= 2 * window - 1)
+    places = _anchors(docs, window, gram)
+    often = places.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
+    lists = places.join(often, "anchor", "left_semi").groupBy("ka").agg(F.collect_set("anchor").alias("anchors"))
+    found = _stretches(docs.join(lists, "ka"), window, gram)
+    stretches = materialize(found.withColumns(dict(zip(("sa", "sb"), keys128("anchor", "words"), strict=True))), "stretches")
+    distinct = stretches.groupBy("anchor", "words", "sa", "sb").agg(F.count("*").alias("n"))
+    full = materialize(stretches.groupBy("anchor").count().filter(F.col("count") > crowded).select("anchor"), "full")
+    if full.isEmpty():
+        got = _parse(distinct.repartition("anchor").sortWithinPartitions("anchor"), window, held)
+    else:
+        few = distinct.join(full, "anchor", "left_anti")
+        got = _parse(few.repartition("anchor").sortWithinPartitions("anchor"), window, held).union(_crowded(distinct.join(full, "anchor", "left_semi"), window))
+    got = materialize(got, "factors")
+    spans = stretches.select("sa", "sb", "ka", "kb", "pos").join(got, ["sa", "sb"])
+    spans = spans.select("ka", "kb", (F.col("pos") + F.col("begin")).alias("pos"), (F.col("pos") + F.col("begin") + F.col("length")).alias("stop")).distinct()
+    return spans.groupBy("ka", "kb").agg(F.collect_list(F.struct("pos", "stop")).alias("spans"))
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, held: int = HELD) -> DataFrame:
+
+def strip_spans(raw: bytes, pos: np.ndarray, stop: np.ndarray) -> tuple[bytes, int, int, str]:
+    """A text's words outside the spans, joined by one space; how many it had and lost; the sha256 of what is left. Works in pieces."""
+    order = np.argsort(pos, kind="stable")
+    pos, reach = pos[order], np.maximum.accumulate(stop[order]) if len(stop) else stop
+    kept, before, lost, sha = [], 0, 0, hashlib.sha256()
+    for piece in cut_at_spaces(raw):
+        words = [w for w in piece.translate(_SPACE).split(b" ") if w]
+        if len(pos):
+            place = np.arange(before, before + len(words))
+            of = np.searchsorted(pos, place, "right") - 1
+            keep = (of < 0) | (reach[np.maximum(of, 0)] <= place)
+            lost += len(words) - int(keep.sum())
+            own = [words[i] for i in np.flatnonzero(keep).tolist()]
+        else:
+            own = words
+        before += len(words)
+        if own:
+            joined = b" ".join(own)
+            sha.update(b" " + joined if kept else joined)
+            kept.append(joined)
+    return b" ".join(kept), before, lost, sha.hexdigest()
+
+
+def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, held: int = HELD, crowded: int = CROWDED) -> DataFrame:
     """docs with text without its duplicate spans, n_words, n_removed (long) and kept_sha256.
 
     Words are runs of bytes other than 0x20, 0x09 to 0x0D; every word of a window of `window` words whose sequence
     starts at two or more places of docs (whole texts, any documents, the same one included) is removed, at all of its
     places. A text that loses nothing stays as it is; any other becomes its kept words, joined by one space. A null
     text has no words and stays null; repeated rows are copies of each other. kept_sha256 is of the kept words joined
-    by one space. Other columns are kept; columns of docs with the names of results are replaced.
+    by one space. Rows are told apart by 128 bits of doc_id and text, null ids included. A long text is read in pieces,
+    so beside itself it takes bounded memory. Other columns are kept, whatever their names; columns of docs with the
+    names of results are replaced. An empty table stays empty.
     """
     docs = docs.drop("n_words", "n_removed", "kept_sha256")
-    keyed = _keys(docs)
-    joined = keyed.join(_spans(keyed, window, gram, held), ["__k1", "__k2"], "left")
     names = docs.columns
+    ka, kb, own = spare(docs, "ka", "kb", "spans")
+    keyed = docs.withColumns(dict(zip((ka, kb), keys128("doc_id", "text"), strict=True)))
+    spans = _spans(keyed.select(F.col(ka).alias("ka"), F.col(kb).alias("kb"), "text"), window, gram, held, crowded)
+    joined = keyed.join(spans.select(F.col("ka").alias(ka), F.col("kb").alias(kb), F.col("spans").alias(own)), [ka, kb], "left")
     schema = extended(docs, n_words="long", n_removed="long", kept_sha256="string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
         for b in slices(batches, "text"):
             texts, n_words, n_removed, shas = [], [], [], []
-            col = b.column(b.schema.get_field_index("text"))
-            spans = b.column(b.schema.get_field_index("__spans"))
+            col, spans = b.column(b.schema.get_field_index("text")), b.column(len(names))
             for k, t in enumerate(col.cast(pa.large_binary()).to_pylist()):
-                words = [w for w in t.translate(_SPACE).split(b" ") if w] if t else []
-                n_words.append(len(words))
-                if spans[k].is_valid:
-                    s = spans.slice(k, 1).flatten()
-                    edge = np.zeros(len(words) + 1, np.int32)
-                    np.add.at(edge, s.field("pos").to_numpy(), 1)
-                    np.add.at(edge, s.field("stop").to_numpy(), -1)
-                    words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
-                joined = b" ".join(words)
-                n_removed.append(n_words[-1] - len(words))
-                texts.append(joined if n_removed[-1] else t)
-                shas.append(hashlib.sha256(joined).hexdigest())
-            own = pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(col.type)
-            yield pa.RecordBatch.from_arrays([own if c == "text" else b.column(b.schema.get_field_index(c)) for c in names] + [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(shas)], [*names, "n_words", "n_removed", "kept_sha256"])
-
-    return joined.select(*names, "__spans").mapInArrow(run, schema)
+                s = spans.slice(k, 1).flatten() if spans[k].is_valid else None
+                left, n, lost, sha = strip_spans(t or b"", s.field("pos").to_numpy() if s else none, s.field("stop").to_numpy() if s else none)
+                texts.append(left if lost else t)
+                n_words.append(n)
+                n_removed.append(lost)
+                shas.append(sha)
+            new = pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(col.type)
+            yield pa.RecordBatch.from_arrays([new if c == "text" else b.column(i) for i, c in enumerate(names)] + [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(shas)], [*names, "n_words", "n_removed", "kept_sha256"])
+
+    return joined.select(*names, own).mapInArrow(run, schema)

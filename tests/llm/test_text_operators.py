@@ -59,29 +59,98 @@ def kept_words(rows):
     return out
 
 
-@pytest.mark.parametrize("held", [1_000_000, 300, 40])
-@pytest.mark.parametrize("clash", ["extra", "k1", "spans", "pos"])
-def test_substring_dedup(spark, held, clash):
-    if held != 1_000_000 and clash != "extra":
-        return
-    got = substring_dedup.substring_dedup(docs(spark, clash), held=held).collect()
+@pytest.mark.parametrize("held,crowded,clash", [(1_000_000, 20_000, "ka"), (300, 20_000, "SPANS"), (40, 2, "anchors"), (1_000_000, 1, "__k1"), (1_000_000, 20_000, "__spans"), (1_000_000, 20_000, "n")])
+def test_substring_dedup(spark, held, crowded, clash):
+    got = substring_dedup.substring_dedup(docs(spark, clash), held=held, crowded=crowded).collect()
     want = sorted((str(r[0]), len(words(r[1])), hashlib.sha256(" ".join(k).encode()).hexdigest()) for r, k in zip(ROWS, kept_words([words(r[1]) for r in ROWS]), strict=True))
     assert sorted((str(r.doc_id), r.n_words, r.kept_sha256) for r in got) == want
     assert all(r[clash] == "clash" for r in got if r.doc_id is not None)
     assert all(r.text == (TEXTS[r.doc_id]) for r in got if r.doc_id is not None and r.n_removed == 0)
 
 
-def test_substring_dedup_in_one_hot_block(spark):
-    """One anchor in every context: the block outgrows what is held, and goes through the shuffle by window."""
+@pytest.mark.parametrize("crowded", [20_000, 50])
+def test_substring_dedup_in_one_hot_block(spark, crowded):
+    """One anchor in every context: above `crowded` places its windows go through a shuffle."""
     rng = np.random.default_rng(2)
     core = "aa " * 3 + " ".join(PASSAGE.split()[:20])
     rows = [(k, " ".join(f"r{x}" for x in rng.integers(0, 9, 30)) + " " + core + " " + " ".join(f"r{x}" for x in rng.integers(0, 9, 30)), None, None, None, None) for k in range(200)]
     rows += [(1000 + k, r[1], *r[2:]) for k, r in enumerate(rows[:20])]
-    got = {r.doc_id: r.kept_sha256 for r in substring_dedup.substring_dedup(docs(spark, rows=rows), held=50).collect()}
+    got = {r.doc_id: r.kept_sha256 for r in substring_dedup.substring_dedup(docs(spark, rows=rows), held=50, crowded=crowded).collect()}
     for r, k in zip(rows, kept_words([words(r[1]) for r in rows]), strict=True):
         assert got[r[0]] == hashlib.sha256(" ".join(k).encode()).hexdigest()
 
 
+def test_texts_without_ids_are_told_apart(spark):
+    """Many texts under a null id, and few words, so that windows repeat within and between them."""
+    rng = np.random.default_rng(9)
+    rows = [(None, " ".join(f"r{x}" for x in rng.integers(0, 2, int(rng.integers(30, 90)))) + (" " + PASSAGE) * (k % 3), None, None, None, None) for k in range(150)]
+    got = collections.Counter(r.kept_sha256 for r in substring_dedup.substring_dedup(docs(spark, rows=rows), window=12, gram=5).collect())
+    seen = collections.Counter(tuple(ws[i : i + 12]) for ws in (words(r[1]) for r in rows) for i in range(len(ws) - 11))
+    want = collections.Counter()
+    for ws in (words(r[1]) for r in rows):
+        gone = {j for i in range(len(ws) - 11) if seen[tuple(ws[i : i + 12])] > 1 for j in range(i, i + 12)}
+        want[hashlib.sha256(" ".join(w for j, w in enumerate(ws) if j not in gone).encode()).hexdigest()] += 1
+    assert got == want
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_factors_against_a_plain_greedy_parser(seed):
+    rng = np.random.default_rng(seed)
+    parts = [[f"p{x}" for x in rng.integers(0, 3, int(rng.integers(5, 16)))] for _ in range(6)]
+    stretches = sorted({" ".join(w for k in rng.integers(0, 6, int(rng.integers(1, 5))) for w in parts[k]) for _ in range(25)})
+    copies, window = (rng.random(len(stretches)) < 0.15) + 1, 9
+    f = substring_dedup.factors(pa.array([s.encode() for s in stretches], pa.binary()), copies, window)
+    ws = [s.split() for s in stretches]
+    starts = [(k, i) for k, w in enumerate(ws) for i in range(len(w) - window + 1)]
+
+    def match(a, b):
+        n = 0
+        while a[1] + n < len(ws[a[0]]) and b[1] + n < len(ws[b[0]]) and ws[a[0]][a[1] + n] == ws[b[0]][b[1] + n]:
+            n += 1
+        return n
+
+    got = sorted(zip(*(x.tolist() for x in f), strict=True))
+    for k, i, n, src, at in got:
+        assert (src, at) != (k, i) or copies[k] > 1
+        assert match((k, i), (src, at)) >= n
+    want = []
+    for k, w in enumerate(ws):
+        i = 0
+        while i <= len(w) - window:
+            n = len(w) - i if copies[k] > 1 else max((match((k, i), s) for s in starts if s != (k, i)), default=0)
+            if n >= window:
+                want.append((k, i, n))
+                i += n - window + 1
+            else:
+                i += 1
+    assert sorted((k, i, n) for k, i, n, *_ in got) == sorted(want)
+
+
+def test_substring_dedup_in_pieces(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    text = " ".join(f"w{x}" for x in rng.integers(0, 3000, 3000))
+    text = text + " " + " ".join(text.split()[500:900]) + " tail"
+    raw = text.encode()
+    pos, stop = np.array([10, 5, 2000, 3000]), np.array([60, 30, 2100, 3401])
+    gone = {j for a, b in zip(pos, stop, strict=True) for j in range(a, b)}
+    kept = " ".join(w for j, w in enumerate(text.split()) if j not in gone).encode()
+    whole = substring_dedup.strip_spans(raw, pos, stop)
+    assert whole == (kept, 3401, len(gone), hashlib.sha256(kept).hexdigest())
+    cut = common.cut_at_spaces
+    for most in (300, 2000):
+        monkeypatch.setattr(substring_dedup, "cut_at_spaces", lambda raw, most=most: cut(raw, most))
+        monkeypatch.setattr(substring_dedup, "PIECE", most)
+        assert substring_dedup.strip_spans(raw, pos, stop) == whole
+        b = pa.RecordBatch.from_pydict({"text": [text]})
+        seen = []
+        for texts, before in substring_dedup._parts(b, 35):
+            r = substring_dedup._runs(texts, 35, 12)
+            if r is not None:
+                seen += [(p + before + k, a) for p, a, n in zip(r.place.tolist(), r.anchors.tolist(), r.windows.tolist(), strict=True) for k in range(n)]
+        r = substring_dedup._runs(pa.array([text]), 35, 12)
+        assert seen == [(p + k, a) for p, a, n in zip(r.place.tolist(), r.anchors.tolist(), r.windows.tolist(), strict=True) for k in range(n)]
+
+
 def plain_fingerprint(t):
     ws = words("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     shingles = [" ".join(ws[i : i + 3]) for i in range(len(ws) - 2)] or ([" ".join(ws)] if ws else [])
