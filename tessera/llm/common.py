@@ -42,13 +42,13 @@ def _folder(spark: SparkSession, path: str):
     return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage is cut, and a lost executor costs nothing.
 
     The table goes when the driver ends, as the result may be read until then; discard() deletes it sooner.
     """
     path = f"{shared_dir(df.sparkSession)}/tessera-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     fs, hpath = _folder(df.sparkSession, path)
     fs.deleteOnExit(hpath)
     out = df.sparkSession.read.schema(df.schema).parquet(path)

@@ -23,14 +23,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PIECE, cut_at_spaces, extended, keys128, materialize, slices, spare
+from .common import PIECE, cut_at_spaces, discard, extended, keys128, materialize, slices, spare
 from .words import Words, gram_hashes, slide_min, word_hashes, words_of
 
 WINDOW, GRAM = 35, 12
 #: Words of the blocks that are indexed at once.
 HELD = 1_000_000
 #: Places of one anchor above which its stretches are compared window by window, by a shuffle, and not in one block.
-CROWDED = 20_000
+CROWDED = 1000
 _SPACE = bytes.maketrans(b"\x09\x0a\x0b\x0c\x0d", b"     ")
 
 
@@ -41,7 +41,7 @@ class Runs(NamedTuple):
     first: np.ndarray  #: its first word, among all words
     place: np.ndarray  #: its first word, within its text
     windows: np.ndarray  #: its windows
-    seen: np.ndarray  #: places at which its least sequence stands within it: 1, or more if that repeats
+    seen: np.ndarray  #: 2 if a chosen sequence stands twice within it, so that its windows may repeat each other; else 1
 
 
 def _parts(batch: pa.RecordBatch, window: int) -> Iterator[tuple[pa.Array, int]]:
@@ -76,17 +76,22 @@ def _runs(texts: pa.Array, window: int, gram: int) -> Runs | None:
     least[~inside] = 0
     room = np.zeros(window - gram, np.uint64)
     top = ~slide_min(~np.concatenate([room, least, room]), window - gram + 1)
-    chosen = np.concatenate([[0], np.cumsum((top == grams[: len(top)]) & (grams[: len(top)] > 0))])
+    chosen = np.flatnonzero((top == grams[: len(top)]) & (top > 0))
+    order = np.argsort(grams[chosen], kind="stable")
+    same = grams[chosen[order[1:]]] == grams[chosen[order[:-1]]]
+    again = np.full(len(grams) + 1, len(grams) + window)  # where a chosen sequence stands next
+    again[chosen[order[:-1][same]]] = chosen[order[1:][same]]
     anchors, doc = least[ok], doc[ok]
     first = np.flatnonzero(np.concatenate([[True], (anchors[1:] != anchors[:-1]) | (doc[1:] != doc[:-1])]))
     windows = np.diff(np.concatenate([first, [len(ok)]]))
     begin = ok[first]
-    seen = chosen[begin + windows + window - gram] - chosen[begin]
-    return Runs(words, anchors[first], doc[first], begin, begin - (ends - words.counts)[doc[first]], windows, np.maximum(seen, 1))
+    end = begin + windows + window - gram
+    repeats = np.minimum.reduceat(again, np.stack([begin, end], 1).ravel())[::2] < end
+    return Runs(words, anchors[first], doc[first], begin, begin - (ends - words.counts)[doc[first]], windows, 1 + repeats)
 
 
 def _anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(anchor, ka, n): how often (at most 2) each anchor is chosen in each text."""
+    """(anchor, ka, n): each run's anchor, counted twice if the run may repeat itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -95,8 +100,7 @@ def _anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 found = _runs(texts, window, gram)
                 if found is None:
                     continue
-                # runs of one anchor in one text that follow each other may share the chosen place; count each run once, and its own repeats
-                yield pa.RecordBatch.from_arrays([pa.array(found.anchors.view(np.int64)), pa.array(keys[found.row]), pa.array(np.minimum(found.seen, 2).astype(np.int32))], ["anchor", "ka", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(found.anchors.view(np.int64)), pa.array(keys[found.row]), pa.array(found.seen.astype(np.int32))], ["anchor", "ka", "n"])
 
     return docs.select("ka", "text").mapInArrow(run, "anchor long, ka long, n int")
 
@@ -192,7 +196,7 @@ def factors(stretches: pa.Array, copies: np.ndarray, window: int = WINDOW) -> Fa
 
 
 def _parse(blocks: DataFrame, window: int, held: int) -> DataFrame:
-    """(sa, sb, begin, length): the factors of stretches (anchor, sa, sb, n, words), which come in order of anchor."""
+    """(ka, kb, pos, stop): the factors of stretches (anchor, ka, kb, pos, words), which come in order of anchor, as spans of their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk: list[pa.RecordBatch] = []
@@ -200,10 +204,17 @@ def _parse(blocks: DataFrame, window: int, held: int) -> DataFrame:
 
         def parsed() -> pa.RecordBatch:
             table = pa.Table.from_batches(chunk).combine_chunks()
+            coded = table.column("words").combine_chunks().dictionary_encode()
+            which = coded.indices.to_numpy()
             # blocks that are indexed together cannot match each other: equal windows have equal anchors
-            f = factors(table.column("words").combine_chunks(), table.column("n").to_numpy(), window)
-            sa, sb = (table.column(c).to_numpy()[f.stretch] for c in ("sa", "sb"))
-            return pa.RecordBatch.from_arrays([pa.array(sa), pa.array(sb), pa.array(f.begin), pa.array(f.length)], ["sa", "sb", "begin", "length"])
+            f = factors(coded.dictionary, np.bincount(which, minlength=len(coded.dictionary)), window)
+            order = np.argsort(f.stretch, kind="stable")
+            per = np.bincount(f.stretch, minlength=len(coded.dictionary))
+            first, n = (np.cumsum(per) - per)[which], per[which]
+            place = np.repeat(np.arange(len(which)), n)
+            own = order[np.arange(len(place)) + np.repeat(first - (np.cumsum(n) - n), n)]
+            pos = table.column("pos").to_numpy()[place] + f.begin[own]
+            return pa.RecordBatch.from_arrays([*(pa.array(table.column(c).to_numpy()[place]) for c in ("ka", "kb")), pa.array(pos), pa.array(pos + f.length[own])], ["ka", "kb", "pos", "stop"])
 
         for b in batches:
             if not b.num_rows:
@@ -221,13 +232,14 @@ def _parse(blocks: DataFrame, window: int, held: int) -> DataFrame:
         if chunk:
             yield parsed()
 
-    return blocks.select("anchor", "sa", "sb", "n", "words").mapInArrow(run, "sa long, sb long, begin long, length long")
+    return blocks.select("anchor", "ka", "kb", "pos", "words").mapInArrow(run, "ka long, kb long, pos long, stop long")
 
 
 def _crowded(stretches: DataFrame, window: int) -> DataFrame:
-    """(sa, sb, begin, length): each window of these stretches (anchor, sa, sb, n, words) that stands at two or more places.
+    """(ka, kb, pos, stop): each window of these stretches (anchor, ka, kb, pos, words) that stands at two or more places.
 
-    Windows are grouped by their words, with partial sums, so that no task holds all places of a common one.
+    Equal stretches and then equal windows are grouped by their words, with partial sums, so that no task holds all
+    places of a common one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,12 +248,16 @@ def _crowded(stretches: DataFrame, window: int) -> DataFrame:
                 each = words.split(b" ")
                 for x in range(0, len(each) - window + 1, 4096):
                     own = [b" ".join(each[i : i + window]) for i in range(x, min(x + 4096, len(each) - window + 1))]
-                    full = lambda v, t: pa.array(np.full(len(own), v), t)  # noqa: E731, B023
-                    yield pa.RecordBatch.from_arrays([full(sa, pa.int64()), full(sb, pa.int64()), pa.array(np.arange(x, x + len(own))), full(n, pa.int64()), pa.array(own, pa.binary())], ["sa", "sb", "begin", "n", "words"])
+                    full = lambda v: pa.array(np.full(len(own), v, np.int64))  # noqa: E731, B023
+                    yield pa.RecordBatch.from_arrays([full(sa), full(sb), pa.array(np.arange(x, x + len(own))), full(n), pa.array(own, pa.binary())], ["sa", "sb", "begin", "n", "words"])
 
-    each = materialize(stretches.select("sa", "sb", "n", "words").mapInArrow(run, "sa long, sb long, begin long, n long, words binary"), "crowded")
+    sa, sb = keys128("words")
+    distinct = stretches.groupBy("words").agg(F.count("*").alias("n")).select(sa.alias("sa"), sb.alias("sb"), "n", "words")
+    each = materialize(distinct.mapInArrow(run, "sa long, sb long, begin long, n long, words binary"), "crowded")
     often = each.groupBy("words").agg(F.sum("n").alias("seen")).filter("seen > 1").select("words")
-    return each.join(often, "words", "left_semi").select("sa", "sb", "begin", F.lit(window).cast("long").alias("length"))
+    found = each.join(often, "words", "left_semi").select("sa", "sb", "begin")
+    places = stretches.select(sa.alias("sa"), sb.alias("sb"), "ka", "kb", "pos").join(found, ["sa", "sb"])
+    return places.select("ka", "kb", (F.col("pos") + F.col("begin")).alias("pos"), (F.col("pos") + F.col("begin") + window).alias("stop"))
 
 
 def _spans(docs: DataFrame, window: int, gram: int, held: int, crowded: int) -> DataFrame:
@@ -250,19 +266,17 @@ def _spans(docs: DataFrame, window: int, gram: int, held: int, crowded: int) ->
     places = _anchors(docs, window, gram)
     often = places.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
     lists = places.join(often, "anchor", "left_semi").groupBy("ka").agg(F.collect_set("anchor").alias("anchors"))
-    found = _stretches(docs.join(lists, "ka"), window, gram)
-    stretches = materialize(found.withColumns(dict(zip(("sa", "sb"), keys128("anchor", "words"), strict=True))), "stretches")
-    distinct = stretches.groupBy("anchor", "words", "sa", "sb").agg(F.count("*").alias("n"))
-    full = materialize(stretches.groupBy("anchor").count().filter(F.col("count") > crowded).select("anchor"), "full")
-    if full.isEmpty():
-        got = _parse(distinct.repartition("anchor").sortWithinPartitions("anchor"), window, held)
-    else:
-        few = distinct.join(full, "anchor", "left_anti")
-        got = _parse(few.repartition("anchor").sortWithinPartitions("anchor"), window, held).union(_crowded(distinct.join(full, "anchor", "left_semi"), window))
-    got = materialize(got, "factors")
-    spans = stretches.select("sa", "sb", "ka", "kb", "pos").join(got, ["sa", "sb"])
-    spans = spans.select("ka", "kb", (F.col("pos") + F.col("begin")).alias("pos"), (F.col("pos") + F.col("begin") + F.col("length")).alias("stop")).distinct()
-    return spans.groupBy("ka", "kb").agg(F.collect_list(F.struct("pos", "stop")).alias("spans"))
+    stretches = materialize(_stretches(docs.join(lists, "ka"), window, gram), "stretches", "zstd")
+    sizes = stretches.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.octet_length("words")).alias("bytes"))
+    full = materialize(sizes.filter((F.col("n") > crowded) | (F.col("bytes") > 60 * held)).select("anchor"), "full")
+    crowds = not full.isEmpty()
+    few = stretches.join(full, "anchor", "left_anti") if crowds else stretches
+    spans = _parse(few.repartition("anchor").sortWithinPartitions("anchor"), window, held)
+    if crowds:
+        spans = spans.union(_crowded(stretches.join(full, "anchor", "left_semi"), window))
+    spans = materialize(spans.distinct().groupBy("ka", "kb").agg(F.collect_list(F.struct("pos", "stop")).alias("spans")), "spans")
+    discard(stretches)
+    return spans
 
 
 def strip_spans(raw: bytes, pos: np.ndarray, stop: np.ndarray) -> tuple[bytes, int, int, str]:
