@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
 
 
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the edges (a, b) between n nodes to keep, so that they unite what all of them unite (fewer than n), and each
+    node's group then."""
+    label, left, kept = np.arange(n), np.arange(len(a)), []
+    while len(left):
+        left = left[label[a[left]] != label[b[left]]]
+        if not len(left):
+            break
+        # one edge for each label that has a lower neighbour, which then becomes one with it
+        one, two = label[a[left]], label[b[left]]
+        high, at = np.unique(np.maximum(one, two), return_index=True)
+        kept.append(left[at])
+        to = np.arange(n)
+        to[high] = np.minimum(one, two)[at]
+        while (to[to] != to).any():
+            to = to[to]
+        label = to[label]
+    return (np.concatenate(kept) if kept else np.zeros(0, np.int64)), label
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Large star: each larger neighbour of u goes to the least of u and its neighbours. Small star: u and its smaller neighbours do.
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut_at_spaces, keys128, materialize, slices, spare
-from .components import components
+from .components import components, forest
 from .words import mix
 
 #: Words of a shingle, XXH64's seed, segments of a fingerprint, differing bits of a link.
@@ -291,26 +291,13 @@ def _open_pairs(marks: DataFrame, layout: Layout) -> DataFrame:
             bits += np.bitwise_count(words[x, k][:, None] ^ words[y, k][None, :])
         bits[root[x][:, None] == root[y][None, :]] = 1 << 14
         label = np.unique(root, return_inverse=True)[1].reshape(-1)  # united already
-        first = np.arange(len(m))
         a, b = np.nonzero(bits <= layout.sure)
         a, b = a + x.start, b + y.start
-        links = []
-        while len(a):
-            apart = label[a] != label[b]
-            a, b = a[apart], b[apart]
-            if not len(a):
-                break
-            # one pair for each two labels, which then become one: each link unites two
-            high, low = np.maximum(label[a], label[b]), np.minimum(label[a], label[b])
-            at = np.unique(high, return_index=True)[1]
-            links.append(np.stack([ids[a[at]], ids[b[at]], np.ones(len(at), np.int64)], 1))
-            to = np.arange(label.max() + 1)
-            to[high[at]] = low[at]
-            while (to[to] != to).any():
-                to = to[to]
-            label = to[label]
+        keep, group = forest(label[a], label[b], int(label.max()) + 1)
+        label = group[label]
+        links = [np.stack([ids[a[keep]], ids[b[keep]], np.ones(len(keep), np.int64)], 1)]
         a, b = np.nonzero((bits > layout.sure) & (bits <= layout.never) & (label[x][:, None] != label[y][None, :]))
-        a, b = ids[first[x][a]], ids[first[y][b]]
+        a, b = ids[x][a], ids[y][b]
         links.append(np.stack([a, b, np.zeros(len(a), np.int64)], 1))
         out = np.concatenate(links)
         out[:, :2].sort(axis=1)

@@ -105,6 +105,40 @@ def test_embeddings_against_brute_force(spark, seed):
     assert len(got) == len(rows)
 
 
+@pytest.mark.parametrize("tile", [4, 2048])
+def test_embeddings_count_links_by_tiles(spark, tile):
+    """Dense groups of unlike vectors, lengths and labels: links are counted, not written, and cross all tiles."""
+    rng = np.random.default_rng(12)
+    rows, k = [], 0
+    for dims in range(2, 82):  # eighty lengths, a linked pair each
+        v = rng.standard_normal(dims)
+        rows += [(k, v.tolist(), "x"), (k + 1, (1.5 * v).tolist(), "x"), (k + 2, (-v).tolist(), "x")]
+        k += 3
+    centre = rng.standard_normal(24)
+    for j in range(300):
+        rows.append((k + j, (centre + 0.22 * rng.standard_normal(24)).tolist(), "dense group"))
+    rows += [(k + 3, rows[-1][1], "dense group"), (None, rows[-2][1], "dense group")]
+    got = embedding_dedup.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").repartition(7), tile=tile).collect()
+    unit = [np.array(v) / np.linalg.norm(v) for _, v, _ in rows]
+    want = [sum(j != i and lab == rows[j][2] and len(v) == len(rows[j][1]) and unit[i] @ unit[j] >= 0.93 for j in range(len(rows))) for i, (_, v, lab) in enumerate(rows)]
+    assert sorted((str(r.vec_id), r.n_links) for r in got) == sorted((str(i), n) for (i, *_), n in zip(rows, want, strict=True))
+    assert {r.component_id for r in got if r.vec_id is not None and r.vec_id < 240} == {x for x in range(240) if x % 3 != 1}
+
+
+def test_passes_grow_with_the_label():
+    found = [embedding_dedup.passes_for(n, 0.93, 64) for n in (0, 500, 10**5, 10**9)]
+    assert found == sorted(found) and found[0] == 16 and found[-1] > 60
+
+
+def test_forest():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 200, 300), rng.integers(0, 200, 300)
+    keep, group = components.forest(a, b, 200)
+    assert (group[a] == group[b]).all() and len(keep) == 200 - len(np.unique(group))
+    again = components.forest(a[keep], b[keep], 200)[1]
+    assert len(np.unique(again)) == len(np.unique(group))
+
+
 def test_embeddings_none(spark):
     assert embedding_dedup.embedding_groups(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
     r = embedding_dedup.embedding_groups(spark.createDataFrame([(1, None, 2)], "vec_id long, embedding array<float>, label int")).first()
