@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -64,6 +64,23 @@ def discard(df: DataFrame) -> None:
         fs.delete(hpath, True)
 
 
+def running(df: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """df with `nth` (long, from 0, in this order) and, for each name, the sum of its column over all rows before.
+
+    Rows are dealt out by range, so no task holds all of them; only a row a partition is put in one place. The order
+    must be total. df must not have the columns nth, pid or those of sums.
+    """
+    parts = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("pid", F.spark_partition_id()), "running")
+    totals = parts.groupBy("pid").agg(F.count("*").alias("nth_all"), *[F.sum(c).alias(f"{n}_all") for n, c in sums.items()])
+    upto = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    based = totals.select("pid", *[F.coalesce(F.sum(f"{n}_all").over(upto), F.lit(0)).alias(f"{n}_base") for n in ("nth", *sums)])
+    here = Window.partitionBy("pid").orderBy(*order)
+    before = here.rowsBetween(Window.unboundedPreceding, -1)
+    joined = parts.join(based, "pid")
+    nth = (F.row_number().over(here) - 1 + F.col("nth_base")).alias("nth")
+    return joined.select(*df.columns, nth, *[(F.coalesce(F.sum(c).over(before), F.lit(0)) + F.col(f"{n}_base")).alias(n) for n, c in sums.items()])
+
+
 def worker_state(key: str, make: Callable):
     """One object per worker process and key, kept across tasks."""
     held = sys.modules.get("_tessera_state")

@@ -16,17 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import extended, materialize, slices
+from .common import extended, materialize, slices, spare
 from .tokens import encoder
 
-#: Pieces for each salt, about, up to 256 salts: a length that all pieces share is ranked in so many parts.
-RANKED = 5_000
+#: Pieces of one length that one task ranks, about: a length with more is ranked in so many parts.
+RANKED = 1_000_000
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
     """(doc_id, k2, piece, start, length, ids_crc32): encoded documents, those above capacity cut into pieces of it.
 
-    Null text counts as empty and gives the end id alone. k2 is the text's hash, to tell documents of one id apart.
+    Null text counts as empty and gives the end id alone. k2 is the text's hash, which puts documents of one id in order.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,23 +129,22 @@ def pack_histogram(counts: dict[int, int], capacity: int) -> list[tuple[tuple[in
     return list(done.items())
 
 
-def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int, ranked: int = RANKED) -> DataFrame:
     """pieces with sequence_id and offset (long): no sequence holds more than capacity, offsets have no gaps from 0.
 
-    pieces: materialized rows of cut_pieces(). The driver gets counts by length and salt (at most capacity x salts
-    numbers); pieces are ranked within length and salt, so that one common length is shared out among tasks.
+    pieces: materialized rows of cut_pieces(). A piece of the whole capacity is a sequence by itself, numbered below zero
+    by its row. Others are ranked within their length, in parts of about `ranked` pieces, so that one common length is
+    shared out among tasks. The driver gets a number for each length and part: capacity + pieces / ranked of them.
     """
-    n = pieces.count()
-    salts = min(256, -(-n // RANKED)) or 1
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "k2", "piece"), F.lit(salts)).cast("int"))
-    hist = salted.groupBy("length", "salt").count().toArrow().to_pandas().sort_values(["length", "salt"])
-    hist["base"] = hist.groupby("length")["count"].cumsum() - hist["count"]
-    base = np.zeros((capacity + 1, salts), np.int64)
-    base[hist["length"].to_numpy(np.int64), hist["salt"].to_numpy(np.int64)] = hist["base"]
+    names = pieces.columns
+    salt, base, rank, all_ = spare(pieces, "salt", "base", "rank", "all")
+    counts = {int(r[0]): int(r[1]) for r in pieces.groupBy("length").count().collect()}
+    whole = counts.pop(capacity, 0)
+    parts = {k: -(-v // ranked) for k, v in counts.items()}
 
     spans: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
     first = 0
-    for pattern, times in pack_histogram({int(k): int(v) for k, v in hist.groupby("length")["count"].sum().items()}, capacity):
+    for pattern, times in pack_histogram(counts, capacity):
         at = 0
         for k in pattern:
             spans[k].append((times, first, at))
@@ -158,24 +157,38 @@ def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            length, salt, rank = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("length", "salt", "rank"))
-            rank = rank - 1 + base[length, salt]
+            length, start, place = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("length", base, rank))
+            place = place - 1 + start
             s, o = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-            for k in np.unique(length):
+            for k in np.unique(length).tolist():
                 mine = np.flatnonzero(length == k)
-                which = np.searchsorted(low[k], rank[mine], "right") - 1
-                s[mine], o[mine] = seq[k][which] + rank[mine] - low[k][which], off[k][which]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(s), pa.array(o)], [*kept, "sequence_id", "offset"])
-
-    kept = pieces.columns
-    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "k2", "piece")).cast("long"))
-    schema = extended(pieces, sequence_id="long", offset="long")
-    return ranked.mapInArrow(run, schema)
+                which = np.searchsorted(low[k], place[mine], "right") - 1
+                s[mine], o[mine] = seq[k][which] + place[mine] - low[k][which], off[k][which]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(s), pa.array(o)], [*names, "sequence_id", "offset"])
+
+    spark = pieces.sparkSession
+    shorter = pieces.filter(F.col("length") < capacity) if whole else pieces
+    sizes = spark.createDataFrame([(k, v) for k, v in parts.items()], f"length long, `{all_}` long")
+    salted = shorter.join(F.broadcast(sizes), "length").withColumn(salt, F.pmod(F.xxhash64("doc_id", "k2", "piece"), F.col(all_)))  # at most `capacity` rows
+    filled = sorted((int(r[0]), int(r[1]), int(r[2])) for r in salted.groupBy("length", salt).count().collect()) if any(v > 1 for v in parts.values()) else [(k, 0, v) for k, v in counts.items()]
+    bases, total = [], defaultdict(int)
+    for k, part, n in filled:
+        bases.append((k, part, total[k]))
+        total[k] += n
+    based = salted.join(F.broadcast(spark.createDataFrame(bases, f"length long, `{salt}` long, `{base}` long")), ["length", salt])  # capacity + pieces / ranked rows
+    based = based.withColumn(rank, F.row_number().over(Window.partitionBy("length", salt).orderBy("doc_id", "k2", "piece")).cast("long"))
+    out = based.select(*names, base, rank).mapInArrow(run, extended(pieces, sequence_id="long", offset="long"))
+    if whole:
+        alone = pieces.filter(F.col("length") == capacity).select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+        out = out.union(alone)
+    return out
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document.
 
-    Only documents above capacity are cut. Repeated rows are packed each for itself; an empty table gives no row.
+    Only documents above capacity are cut. Null text counts as empty; repeated rows and ties of doc_id are packed each for
+    itself. A long text is encoded whole, so a task holds its ids beside it. Other columns of docs, whatever their names,
+    play no part; an empty table gives no row.
     """
     return pack_pieces(materialize(cut_pieces(docs, tokenizer, end_id, capacity), "pieces"), capacity).drop("k2")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import components, embedding_dedup, langid, mixing, toxicity
+from tessera.llm import common, components, embedding_dedup, langid, mixing, toxicity
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -63,6 +63,30 @@ def test_mixed_rows_are_repeated(spark):
     assert mixing.repeat_documents(make(spark, [])).count() == 0 and mixing.mix_documents(make(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("clash", ["k2", "K3", "times", "size"])
+def test_rows_are_repeated_each_with_its_own_columns(spark, clash):
+    """One text in two sources is two rows, which keep their source; a clashing column stays."""
+    rows = [(1, "a b c d e", "x", "p"), (1, "a b c d e", "y", "q"), (2, None, None, "r"), (2, "", "x", None), *[(k, "w " * (k % 9), "xyz"[k % 3], "c") for k in range(10, 60)]]
+    out = mixing.repeat_documents(spark.createDataFrame(rows, f"doc_id long, text string, source string, {clash} string").repartition(3))
+    assert out.columns == ["doc_id", "text", "source", clash]
+    got = collections.Counter(tuple(r) for r in out.collect())
+    assert set(got) <= set(rows)
+    times = {(r.doc_id, r.source): r for r in mixing.mix_documents(spark.createDataFrame(rows, f"doc_id long, text string, source string, {clash} string")).collect()}
+    for k in (0, 1):
+        r = times[rows[k][0], rows[k][2]]
+        assert got[rows[k]] == r.copies + (2 * r.part >= r["size"] and r.part > 0)
+
+
+def test_running_sums(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(x), k) for k, x in enumerate(rng.integers(0, 50, 200))]
+    got = common.running(spark.createDataFrame(rows, "x long, y long").repartition(5), [F.col("x").asc(), F.col("y").asc()], s=F.col("y")).collect()
+    at = 0
+    for n, (r, want) in enumerate(zip(sorted(got, key=lambda r: r.nth), sorted(rows), strict=True)):
+        assert (r.x, r.y, r.nth, r.s) == (*want, n, at)
+        at += want[1]
+
+
 def vectors(seed, labels=3):
     rng = np.random.default_rng(seed)
     rows, k = [], 0

@@ -369,9 +369,11 @@ def test_token_files(spark):
     assert order == sorted(order)
 
 
-def test_packing(spark):
+@pytest.mark.parametrize("clash,ranked", [("salt", 1_000_000), ("rank", 2), ("base", 1)])
+def test_packing(spark, clash, ranked):
     enc = WordEncoder(queries.vocabulary())
-    got = packing.pack_documents(docs(spark, "salt"), queries.vocabulary()).collect()
+    pieces = common.materialize(packing.cut_pieces(docs(spark, clash), queries.vocabulary(), 1, 4096), "pieces")
+    got = packing.pack_pieces(pieces, 4096, ranked).collect()
     by = collections.defaultdict(list)
     for r in got:
         by[r.sequence_id].append(r)
@@ -387,6 +389,7 @@ def test_packing(spark):
         for k in range(0, len(ids), 4096):
             part = np.array(ids[k : k + 4096], "<u4")
             want[r[0], k // 4096, k, len(part), zlib.crc32(part.tobytes())] += 1
+    assert len(packing.pack_documents(docs(spark, clash), queries.vocabulary()).collect()) == len(got)
     assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
     assert len(by) == -(-sum(r.length for r in got) // 4096)
 
