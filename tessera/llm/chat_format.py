@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
+#: Bytes that are laid out or read back at once.
+PIECE = 1 << 20
 OPEN, AFTER_ROLE, CLOSE = b"<turn>", b"\n", b"</turn>\n"
 #: What begins a control string within a role or text, or escapes one, and what stands for it.
 ESCAPES = ((b"\\", b"\\\\"), (b"<turn>", b"\\lturn>"), (b"</turn>", b"\\l/turn>"))
@@ -34,37 +36,54 @@ def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8)[offs[0] : offs[-1]] if data is not None else np.zeros(0, np.uint8)), offs - offs[0]
 
 
-def _marks(data: np.ndarray, offs: np.ndarray, newline: bool) -> np.ndarray:
-    """Which bytes are escaped by a second one: backslashes, and each < that begins a control string of its own row."""
-    hit = data == 0x5C
-    if newline:
-        hit |= data == 0x0A
-    ends = offs[1:]
-    for control in (b"turn>", b"/turn>"):
-        at = np.flatnonzero(data == 0x3C)
-        if len(at):
-            at = at[ends[np.searchsorted(ends, at, "right")] - at > len(control)]
-        for k, c in enumerate(control, 1):
-            at = at[data[at + k] == c]
-        hit[at] = True
-    return hit
-
-
 class Part:
-    """Escaped contents of a column: its source bytes, which of them are escaped, and the length of each row."""
+    """Escaped contents of a column: its source bytes, and the length of each row. Bytes are worked on PIECE at a time."""
 
-    def __init__(self, col: pa.Array, newline: bool = False):
+    def __init__(self, col: pa.Array, newline: bool = False, piece: int = PIECE):
         self.data, self.offs = _flat(col)
-        self.hit = _marks(self.data, self.offs, newline)
-        self.shift = np.concatenate([[0], np.cumsum(self.hit)])
-        self.lens = np.diff(self.offs) + np.diff(self.shift[self.offs])
+        self.newline, self.piece = newline, piece
+        before, total = np.zeros(len(self.offs), np.int64), 0  # bytes to escape before each row begins, and in all
+        for x, hit in self._hits():
+            sums = np.concatenate([[0], np.cumsum(hit)])
+            rows = slice(np.searchsorted(self.offs, x, "right"), np.searchsorted(self.offs, x + len(hit), "right"))
+            before[rows] = total + sums[self.offs[rows] - x]
+            total += int(sums[-1])
+        self.lens = np.diff(self.offs) + np.diff(before)
+        self.before = before[:-1]
+
+    def _hits(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Piece by piece, where it begins and which bytes are escaped by a second one: backslashes, each < that begins a control string of
+        its own row, and line feeds where newline is set."""
+        data, ends = self.data, self.offs[1:]
+        for x in range(0, len(data), self.piece):
+            own = data[x : x + self.piece]
+            hit = own == 0x5C
+            if self.newline:
+                hit |= own == 0x0A
+            opens = np.flatnonzero(own == 0x3C) + x
+            for control in (b"turn>", b"/turn>"):
+                at = opens
+                if len(at):
+                    at = at[ends[np.searchsorted(ends, at, "right")] - at > len(control)]
+                for k, c in enumerate(control, 1):
+                    at = at[data[at + k] == c]
+                hit[at - x] = True
+            yield x, hit
 
     def scatter(self, out: np.ndarray, starts: np.ndarray) -> None:
         """Put row k's escaped bytes into out from starts[k] on."""
-        row = np.repeat(np.arange(len(starts)), np.diff(self.offs))
-        at = np.arange(len(self.data)) - self.offs[row] + (self.shift[1:] - self.shift[self.offs[row]]) + starts[row]
-        out[at] = np.where(self.hit & (self.data == 0x3C), np.uint8(0x6C), np.where(self.hit & (self.data == 0x0A), np.uint8(0x6E), self.data))
-        out[at[self.hit] - 1] = 0x5C
+        total = 0
+        for x, hit in self._hits():
+            own = self.data[x : x + len(hit)]
+            place = np.arange(x, x + len(hit))
+            row = np.searchsorted(self.offs, place, "right") - 1
+            place += (starts - self.offs[:-1] - self.before)[row]  # where it goes but for the escapes of its row so far
+            escapes = np.cumsum(hit)
+            place += escapes
+            place += total
+            out[place] = np.where(hit & (own == 0x3C), np.uint8(0x6C), np.where(hit & (own == 0x0A), np.uint8(0x6E), own))
+            out[place[hit] - 1] = 0x5C
+            total += int(escapes[-1])
 
 
 def assemble(roles: pa.Array, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -82,7 +101,7 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np
             out[starts[:, None] + np.arange(len(fixed))] = np.frombuffer(fixed, np.uint8)
         else:
             part.scatter(out, starts)
-    segments = pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(out)])
+    segments = pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out)])
     return segments, within[3], within[4]
 
 
@@ -93,11 +112,32 @@ def unescape(x: bytes) -> bytes:
     return b"\\".join(p.replace(b"\\l", b"<").replace(b"\\n", b"\n") for p in x.split(b"\\\\"))
 
 
+def unescaped(x: memoryview, piece: int = PIECE) -> Iterator[bytes]:
+    """The text that was escaped, piece by piece; no piece ends within an escape."""
+    at = 0
+    while at < len(x):
+        end = min(len(x), at + piece)
+        run = end
+        while run > at and x[run - 1] == 0x5C:
+            run -= 1
+        end = min(len(x), end + (end - run) % 2)
+        yield unescape(bytes(x[at:end]))
+        at = end
+
+
+def code_points(x: bytes | memoryview, piece: int = PIECE) -> int:
+    """Code points of UTF-8 bytes."""
+    data = np.frombuffer(x, np.uint8)
+    return sum(int(np.count_nonzero((data[k : k + piece] & 0xC0) != 0x80)) for k in range(0, len(data), piece))
+
+
 def format_turns(turns: DataFrame) -> DataFrame:
     """conv_id, turn, role, segment (the turn as formatted), text_begin, text_end (its text's bytes), loss (learned from).
 
     Every turn is laid out for itself, so one long conversation is spread over many tasks; a conversation is its
-    segments in order of turn. Null roles and texts count as empty. Only the assistant's texts are under the loss mask.
+    segments in order of turn. Null roles and texts count as empty. Only the assistant's texts are under the loss mask. A
+    long text is laid out in pieces: beside itself and its segment it takes bounded memory. Repeated rows and turn numbers
+    are turns of their own. Other columns of turns, whatever their names, play no part; an empty table gives no row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,20 +167,24 @@ def digest_conversations(formatted: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_pydict({"conv_id": pa.array([now[0]], pa.int64()), "n_turns": [n], "turns_sha256": [turns.hexdigest()], "loss_chars": [chars], "loss_sha256": [loss.hexdigest()], "formatted_chars": [formatted_chars]})
 
         for b in batches:
-            for conv, segment, begin, end, loss in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("conv_id", "segment", "text_begin", "text_end", "loss")), strict=True):
+            segments = b.column(b.schema.get_field_index("segment"))
+            for k, (conv, begin, end, loss) in enumerate(zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("conv_id", "text_begin", "text_end", "loss")), strict=True)):
                 if now is None or now[0] != conv:
                     if now is not None:
                         yield row()
                     now, state = (conv,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                raw = segment.encode()
-                role = raw[len(OPEN) : begin - len(AFTER_ROLE)]
-                text = unescape(raw[begin:end])
+                raw = memoryview(segments[k].as_buffer())
                 state[0] += 1
-                state[1].update(unescape(role) + b"\n" + text + b"\n")
-                if loss:
-                    state[2] += len(text.decode())
-                    state[3].update(text)
-                state[4] += len(segment)
+                for piece in unescaped(raw[len(OPEN) : begin - len(AFTER_ROLE)]):
+                    state[1].update(piece)
+                state[1].update(b"\n")
+                for piece in unescaped(raw[begin:end]):
+                    state[1].update(piece)
+                    if loss:
+                        state[2] += code_points(piece)
+                        state[3].update(piece)
+                state[1].update(b"\n")
+                state[4] += code_points(raw)
         if now is not None:
             yield row()
 

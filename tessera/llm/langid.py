@@ -16,34 +16,45 @@ from .common import crc32_mod, extended, slices
 DIMS, GRAMS, CENTROIDS = 4096, (2, 3), 3
 #: Documents of each language that are fitted on at most and of all languages together (the bound on what the driver gets).
 MOST_PER_LANGUAGE, MOST = 800, 8000
+#: Characters of a text that is fitted on at most.
+LONGEST = 200_000
 _TABLE = np.full(256, 0x20, np.uint8)
 _TABLE[0x61:0x7B] = np.arange(0x61, 0x7B)
 _TABLE[0x41:0x5B] = np.arange(0x61, 0x7B)
 _TABLE[0x80:] = np.arange(0x80, 0x100)
 
 
-def counts_of(texts: pa.Array) -> np.ndarray:
-    """Hashed n-gram counts (float32, texts x DIMS) of lower-case letters; everything else in ASCII counts as a space."""
+def counts_of(texts: pa.Array, piece: int = 1 << 20) -> np.ndarray:
+    """Hashed n-gram counts (float32, texts x DIMS) of lower-case letters; everything else in ASCII counts as a space.
+
+    N-grams are counted by pieces of the bytes that they begin in, so a long text takes little beside itself.
+    """
     low = pc.utf8_lower(texts.cast(pa.large_string()).fill_null(""))
     offs = np.frombuffer(low.buffers()[1], np.int64)[low.offset : low.offset + len(low) + 1]
-    data = _TABLE[np.frombuffer(low.buffers()[2], np.uint8)[offs[0] : offs[-1]]] if offs[-1] > offs[0] else np.zeros(0, np.uint8)
+    raw = np.frombuffer(low.buffers()[2], np.uint8)[offs[0] : offs[-1]] if offs[-1] > offs[0] else np.zeros(0, np.uint8)
     offs = offs - offs[0]
-    row = np.repeat(np.arange(len(low)), np.diff(offs))
     out = np.zeros(len(low) * DIMS)
-    wide, room = data.astype(np.uint32), offs[1:][row] - np.arange(len(data))
-    spaces = data == 0x20
-    for n in GRAMS:
-        m = len(data) - n + 1
-        if m <= 0:
-            continue
-        h, blank = np.full(m, n, np.uint32), np.zeros(m, bool)
-        for k in range(n):
-            h = (h ^ wide[k : k + m]) * np.uint32(0x01000193)
-            if k:
-                blank |= spaces[k : k + m] & spaces[k - 1 : k - 1 + m]
-        h ^= h >> np.uint32(15)
-        ok = np.flatnonzero((room[:m] >= n) & ~blank)
-        out += np.bincount(row[ok] * DIMS + (h[ok] % DIMS), minlength=len(out))
+    for x in range(0, len(raw), piece):
+        size = min(piece, len(raw) - x)
+        data = _TABLE[raw[x : x + size + max(GRAMS) - 1]]
+        place = np.arange(x, x + size)
+        row = np.searchsorted(offs, place, "right") - 1
+        wide, room = data.astype(np.uint32), offs[row + 1] - place
+        spaces = data == 0x20
+        for n in GRAMS:
+            m = min(size, len(data) - n + 1)
+            if m <= 0:
+                continue
+            h, blank = np.full(m, n, np.uint32), np.zeros(m, bool)
+            for k in range(n):
+                h = (h ^ wide[k : k + m]) * np.uint32(0x01000193)
+                if k:
+                    blank |= spaces[k : k + m] & spaces[k - 1 : k - 1 + m]
+            h ^= h >> np.uint32(15)
+            ok = np.flatnonzero((room[:m] >= n) & ~blank)
+            first = row[0]
+            counted = np.bincount((row[ok] - first) * DIMS + (h[ok] % DIMS))
+            out[first * DIMS : first * DIMS + len(counted)] += counted
     return out.reshape(len(low), DIMS).astype(np.float32)
 
 
@@ -82,18 +93,21 @@ def fit(texts: pa.Array, languages: list[str], centroids: int = CENTROIDS, seed:
 def fit_languages(docs: DataFrame, most_per_language: int = MOST_PER_LANGUAGE) -> Model:
     """Fit on documents with text and lang whose crc32(doc_id as text) mod 4 is not 2.
 
-    At most about most_per_language of each language are drawn, by hash at the rate of the bound over its count, so every
-    run draws the same; a language with few documents gives them all.
+    At most about most_per_language of each language and MOST of all are drawn, by hash at the rate of the bound over its
+    count, so every run draws the same; a language with few documents gives them all. Texts above LONGEST characters are
+    not fitted on, so the driver gets a bounded number of bytes too.
     """
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (crc32_mod("doc_id", 4) != 2)).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
-    if not counts:
+    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (crc32_mod("doc_id", 4) != 2) & (F.length("text") <= LONGEST))
+    usable = usable.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    counts = usable.groupBy("lang").count()
+    languages = counts.count()
+    if not languages:
         return fit(pa.array([], pa.string()), [])
-    most_per_language = min(most_per_language, MOST / len(counts))
-    rates = F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, min(1.0, most_per_language / v))])
+    share = min(float(most_per_language), MOST / languages)
     draw = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)
-    got = usable.filter(draw < rates[F.col("lang")]).toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
-    return fit(got.column("text").combine_chunks(), got.column("lang").to_pylist())
+    drawn = usable.join(counts, "lang").filter(draw < share / F.col("count"))
+    got = drawn.select("doc_id", "text", "lang").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
+    return fit(got.column("text").combine_chunks() if got.num_rows else pa.array([], pa.string()), got.column("lang").to_pylist())
 
 
 def identify(docs: DataFrame, model: Model, reject_as_und: bool = False) -> DataFrame:
@@ -101,7 +115,8 @@ def identify(docs: DataFrame, model: Model, reject_as_und: bool = False) -> Data
 
     A null text or one without a letter is `und` with score 0. A text whose nearest centroid is too far is rejected: it
     keeps the nearest language, or is `und` too with reject_as_und. Without any learned language all texts are `und`.
-    Repeated rows agree; columns of docs with the names of results are replaced.
+    Repeated rows agree; a text of any length is read whole, in pieces. Other columns are kept, columns of docs with the
+    names of results are replaced; an empty table stays empty.
     """
     kept = docs.drop("lang_pred", "score", "rejected")
     names = kept.columns

@@ -14,24 +14,25 @@ _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
 
 class WordEncoder:
-    """Encodes white-space separated words once and keeps their ids; at most about `most` words are kept.
+    """Encodes white-space separated words once and keeps their ids; at most about `most` words of `most_bytes` in all, and as many ids,
+    are kept from one batch to the next.
 
     The tokenizer must lower-case, drop white space, end each piece of letters with one token in </w>, and never join
     words across white space, as word_bpe_49k.json does. Words of letters share an entry with their
     forms with punctuation behind, which is a piece of its own; all others are encoded by the library as they stand.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 400_000, most_bytes: int = 16 << 20):
         from tokenizers import Tokenizer
 
-        self.tok, self.most = Tokenizer.from_file(path), most
+        self.tok, self.most, self.most_bytes = Tokenizer.from_file(path), most, most_bytes
         end = [i for t, i in self.tok.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]
         self.ends = np.zeros(self.tok.get_vocab_size() + 1, bool)
         self.ends[end] = True
         self.clear()
 
     def clear(self) -> None:
-        self.plain, self.other = {}, {}
+        self.plain, self.other, self.bytes = {}, {}, 0
         self.starts, self.lens, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
         self._keep([0], np.zeros(0, np.uint32))  # entry 0 has no ids
@@ -67,6 +68,7 @@ class WordEncoder:
         miss = [k for k, x in enumerate(found) if x is None]
         if miss:
             new = [words[k] for k in miss]
+            self.bytes += sum(map(len, new))
             first = learn(new)
             known.update(zip(new, range(first, first + len(new)), strict=True))
             for j, k in enumerate(miss):
@@ -101,7 +103,7 @@ class WordEncoder:
 
         Arrow splits the texts and numbers their distinct words, so Python meets each word of a batch once.
         """
-        if self.n > self.most:
+        if self.n > self.most or self.bytes > self.most_bytes or self.used > self.most_bytes:
             self.clear()
         split = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
         cuts = split.offsets.to_numpy()

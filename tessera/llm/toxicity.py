@@ -16,13 +16,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, extended, slices
+from .common import PIECE, crc32_mod, cut_at_spaces, extended, slices
 from .words import words_of
 
 BUCKETS, DIMS, GRAMS, SPAN = 1 << 17, 8, (4, 6, 8), 8
 DECAY = 1e-4
 #: Labelled documents of each class that the model is fitted on at most (the bound on what the driver gets).
 MOST_PER_CLASS = 1500
+#: Characters of a text that is fitted on at most.
+LONGEST = 200_000
 PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -133,24 +135,43 @@ def fit(texts: pa.Array, toxic: np.ndarray, epochs: int = 120, seed: int = 3) ->
     return model
 
 
-def score(texts: pa.Array, gains: np.ndarray, bias: float) -> np.ndarray:
-    """Probability of label 1 for each text, from all its stretches; texts without words get the bias alone."""
+def _stretch_best(texts: pa.Array, gains: np.ndarray) -> np.ndarray:
+    """The log odds, but for the bias, of each text's most toxic stretch; texts without words: minus infinity."""
     words = words_of(texts)
     per_word = _word_means(gains, *subwords(words.distinct))
     sums = np.concatenate([[0], np.cumsum(per_word[words.which])])
     first, end, n = _stretches(words.counts, SPAN)
-    best = np.zeros(len(n))
+    best = np.full(len(n), -np.inf)
     if len(first):
         z = (sums[end] - sums[first]) / (end - first)
         best[n > 0] = np.maximum.reduceat(z, (np.cumsum(n) - n)[n > 0])
-    return 1 / (1 + np.exp(-np.clip(best + bias, -40, 40)))
+    return best
+
+
+def score(texts: pa.Array, gains: np.ndarray, bias: float, piece: int = PIECE) -> np.ndarray:
+    """Probability of label 1 for each text, from all its stretches; texts without words get the bias alone.
+
+    A text longer than `piece` bytes is scored by pieces that end with a word, each begun with the SPAN - 1 words before;
+    it is as toxic as its most toxic piece.
+    """
+    if len(texts) == 1 and texts[0].is_valid and len(texts[0].as_buffer()) > piece:
+        best, carried = np.full(1, -np.inf), b""
+        for part in cut_at_spaces(texts[0].as_buffer().to_pybytes(), piece):
+            own = carried + part
+            best = np.maximum(best, _stretch_best(pa.array([own], pa.large_binary()).cast(pa.large_string()), gains))
+            carried = b" ".join(own[-4096:].split()[-SPAN + 1 :]).decode("utf-8", "ignore").encode() + b" "
+    else:
+        best = _stretch_best(texts, gains)
+    return 1 / (1 + np.exp(-np.clip(np.where(np.isinf(best), 0.0, best) + bias, -40, 40)))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, most_per_class: int = MOST_PER_CLASS) -> Model:
     """Fit on labelled documents whose crc32(doc_id as text) mod 5 is not 0, most_per_class of each class at most.
 
     The sample is the same in every run: the rate of a class is its bound over its count, drawn by hash. Labels that
-    contradict each other or are null are left out; without labels of both kinds the model knows only the base rate.
+    contradict each other or are null are left out, texts above LONGEST characters are not fitted on, and of several texts
+    of one doc_id one is, so the driver gets a bounded number of bytes; without labels of both kinds the model knows only
+    the base rate.
     """
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (crc32_mod("doc_id", 5) != 0))
     one = usable.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most").drop("most")
@@ -158,16 +179,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_per_class: int = MOST_
     draw = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)
     rate = F.when(F.col("toxic") == 1, most_per_class / max(1, counts.get(1, 0))).otherwise(most_per_class / max(1, counts.get(0, 0)))
     sample = one.filter(draw < rate).select("doc_id", "toxic")
-    got = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    fit_on = docs.filter(F.col("doc_id").isNotNull() & (F.coalesce(F.length("text"), F.lit(0)) <= LONGEST)).select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    one = fit_on.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x"))  # a doc_id may come more than once
+    got = one.select("doc_id", "x.text", "toxic").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     return fit(got.column("text").combine_chunks() if got.num_rows else pa.array([], pa.string()), got.column("toxic").to_numpy())
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, most_per_class: int = MOST_PER_CLASS) -> DataFrame:
     """docs with score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= 0.5) for each whole text.
 
-    Scores depend on nothing but the text: null and empty texts get the base score, repeated rows agree. The sample
-    that is fitted on, which the driver holds and broadcasts as ids, is bounded by most_per_class. Columns of docs
-    with the names of results are replaced.
+    Scores depend on nothing but the text: null and empty texts get the base score, repeated rows agree, a text of any
+    length is read whole, in pieces. The sample that is fitted on, which the driver holds and broadcasts as ids, is bounded
+    by most_per_class. Other columns are kept, columns of docs with the names of results are replaced; an empty table
+    stays empty.
     """
     model = fit_toxicity(docs, labels, most_per_class)
     gains, bias = model.gains().astype(np.float32), float(model.bias[1] - model.bias[0])

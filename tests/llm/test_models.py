@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,3 +237,101 @@ def test_toxicity_held_out(spark):
     assert got[1000].score == got[1001].score and got[1002].predicted == 1 and all(0 <= r.score <= 1 for r in got.values())
     nobody = toxicity.toxicity(d, lab.limit(0)).select(F.max("predicted").alias("p")).first()
     assert nobody.p == 0 and toxicity.toxicity(d.limit(0), lab).count() == 0
+
+
+ODD = [None, "", " \n\t ", "12 34 !!", "x", "Ünïcode ÑANDÚ straße", "lor mip. SA!tun  tun -- lor", "\x85odd\xa0space ctl\x1fx", "é", "a" * 300]
+
+
+def plain_grams(text):
+    """Counts of hashed byte 2- and 3-grams, one by one."""
+    table = {c: c for c in (*range(0x61, 0x7B), *range(0x80, 0x100))}
+    data = [table.get(c, 0x20) for c in (text or "").lower().encode()]
+    out = collections.Counter()
+    for n in (2, 3):
+        for i in range(len(data) - n + 1):
+            gram = data[i : i + n]
+            if any(x == y == 0x20 for x, y in zip(gram, gram[1:], strict=False)):
+                continue
+            h = n
+            for c in gram:
+                h = (h ^ c) * 0x01000193 & 0xFFFFFFFF
+            out[(h ^ h >> 15) % 4096] += 1
+    return out
+
+
+@pytest.mark.parametrize("piece", [5, 64, 1 << 20])
+def test_language_against_plain_cosine(spark, piece):
+    rng = np.random.default_rng(3)
+    texts = [*ODD, *(speech(x, rng, int(rng.integers(1, 60))) for x in ("aa", "bb", "cc") * 20)]
+    counts = langid.counts_of(pa.array(texts, pa.string()), piece)
+    for row, t in zip(counts, texts, strict=True):
+        assert {int(k): int(row[k]) for k in np.flatnonzero(row)} == plain_grams(t)
+    model = langid.fit(pa.array(texts[10:40], pa.string()), ["aa", "bb", "cc"] * 10)
+    rows = {r.doc_id: r for r in langid.identify(make(spark, [(k, t, None, None, None) for k, t in enumerate(texts)]), model).collect()}
+    for k, t in enumerate(texts):
+        vector = {g: math.sqrt(c) * float(model.idf[g]) for g, c in plain_grams(t).items()}
+        norm = math.sqrt(sum(x * x for x in vector.values())) or 1.0
+        sims = [sum(x * float(model.centroids[g, c]) for g, x in vector.items()) / norm for c in range(len(model.languages))]
+        if not any(c.isalpha() for c in t or ""):
+            assert (rows[k].lang_pred, rows[k].score) == ("und", 0.0)
+            continue
+        assert abs(rows[k].score - max(0.0, *sims)) < 1e-4
+        assert sims[[n for n, x in enumerate(model.languages) if x == rows[k].lang_pred][0]] > -1 and max(s for s, x in zip(sims, model.languages, strict=True) if x == rows[k].lang_pred) > max(sims) - 1e-4
+        assert rows[k].rejected == (rows[k].score < model.least)
+
+
+def plain_buckets(word):
+    """Buckets of a word's character n-grams and of itself, one by one."""
+    mask, prime = (1 << 64) - 1, 0x100000001B3
+    data = ("\x02" + word.lower().strip(toxicity.PUNCTUATION) + "\x03").encode()
+    keys = []
+    for n in toxicity.GRAMS:
+        for i in range(len(data) - n + 1):
+            h = n
+            for c in data[i : i + n]:
+                h = (h ^ c) * prime & mask
+            keys.append(h)
+    keys.append(sum((c + 1) * (2 * p + 1) * prime * (c + 7) * (p + 11) for p, c in enumerate(data)) & mask)
+    return [((h ^ h >> 31) * 0x9E3779B97F4A7C15 & mask) >> (64 - toxicity.BUCKETS.bit_length() + 1) for h in keys]
+
+
+def test_toxicity_against_plain_scoring():
+    """Mean of embeddings, softmax and most toxic stretch, with a model of random numbers, value by value."""
+    rng = np.random.default_rng(4)
+    texts = [*ODD, *(speech("aa", rng, int(rng.integers(1, 90))) for _ in range(30))]
+    model = toxicity.Model(rng.standard_normal((toxicity.BUCKETS, toxicity.DIMS)).astype(np.float32), rng.standard_normal((toxicity.DIMS, 2)), rng.standard_normal(2))
+    got = toxicity.score(pa.array(texts, pa.string()), model.gains(), float(model.bias[1] - model.bias[0]))
+    for s, t in zip(got.tolist(), texts, strict=True):
+        words, span = WORD.findall(t or ""), toxicity.SPAN
+        vectors_of = [np.mean([model.table[b].astype(float) for b in plain_buckets(w)], axis=0) for w in words]
+        begins = sorted({min(k, max(0, len(words) - span)) for k in range(0, max(1, len(words) - span // 2 + 1), span // 2)}) if words else []
+        odds = []
+        for k in begins:
+            hidden = np.mean(vectors_of[k : k + span], axis=0)
+            z = hidden @ model.weights + model.bias
+            odds.append(z[1] - z[0])
+        want = 1 / (1 + math.exp(-(max(odds) if odds else float(model.bias[1] - model.bias[0]))))
+        assert abs(s - want) < 1e-6
+
+
+def test_toxicity_in_pieces():
+    rng = np.random.default_rng(5)
+    gains = rng.standard_normal(toxicity.BUCKETS).astype(np.float32) - 3
+    bad = "snarkoaf vilegrub dirtlump snarkoaf vilegrub dirtlump snarkoaf vilegrub"
+    for b in {x for w in bad.split() for x in plain_buckets(w)}:
+        gains[b] = 9.0
+    for at in range(0, 400, 37):
+        calm = speech("bb", rng, 400).split()
+        text = " ".join([*calm[:at], bad, *calm[at:]])
+        assert toxicity.score(pa.array([text]), gains, 0.0, 100)[0] > 0.99
+        assert toxicity.score(pa.array([" ".join(calm)]), gains, 0.0, 100)[0] < 0.5
+
+
+def test_samples_are_bounded(spark):
+    """One labelled id with many rows, one long text and many languages do not make the samples grow."""
+    rows = [(3, f"word{k} other", "aa", "s", 1) for k in range(300)] + [(k, "abc " * 60000, "bb", "s", 1) for k in range(20, 24)] + [(k, f"text {k}", f"l{k}", "s", 1) for k in range(100, 160)]
+    d = make(spark, rows)
+    model = toxicity.fit_toxicity(d, spark.createDataFrame([(3, 1, 1), (101, 1, 0), (21, 1, 0)], "doc_id long, quality int, toxic int"))
+    assert model.table.shape == (toxicity.BUCKETS, toxicity.DIMS)
+    found = langid.fit_languages(d)
+    assert "bb" not in found.languages and {f"l{k}" for k in range(100, 160) if zlib.crc32(str(k).encode()) % 4 != 2} <= set(found.languages)

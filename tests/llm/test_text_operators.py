@@ -440,6 +440,22 @@ def test_chat_segments_hold_no_control_string_inside():
         assert chat_format.unescape(s.encode()[b:e]).decode() == (t or "")
 
 
+@pytest.mark.parametrize("piece", [7, 64, 1 << 20])
+def test_chat_in_pieces(piece):
+    rng = np.random.default_rng(piece)
+    bits = ["<turn>", "</turn>", "\\", "\n", "é", "<", "turn>", "x", "𐀀", "l", "n", "/"]
+    texts = ["".join(rng.choice(bits, int(rng.integers(0, 60)))) for _ in range(40)] + [None, "", "<turn"]
+    part = chat_format.Part(pa.array(texts, pa.string()), newline=True, piece=piece)
+    out = np.zeros(int(part.lens.sum()), np.uint8)
+    ends = np.cumsum(part.lens)
+    part.scatter(out, ends - part.lens)
+    for t, a, b in zip(texts, (ends - part.lens).tolist(), ends.tolist(), strict=True):
+        raw = out[a:b].tobytes()
+        assert b"<turn>" not in raw and b"</turn>" not in raw and b"\n" not in raw
+        assert b"".join(chat_format.unescaped(memoryview(raw), piece)).decode() == (t or "") == chat_format.unescape(raw).decode()
+        assert chat_format.code_points(raw, piece) == len(raw.decode())
+
+
 def test_empty_tables(spark):
     none = docs(spark, rows=[])
     v = queries.vocabulary()
