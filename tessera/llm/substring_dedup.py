@@ -254,7 +254,8 @@ def _crowded(stretches: DataFrame, window: int) -> DataFrame:
     sa, sb = keys128("words")
     distinct = stretches.groupBy("words").agg(F.count("*").alias("n")).select(sa.alias("sa"), sb.alias("sb"), "n", "words")
     each = materialize(distinct.mapInArrow(run, "sa long, sb long, begin long, n long, words binary"), "crowded")
-    often = each.groupBy("words").agg(F.sum("n").alias("seen")).filter("seen > 1").select("words")
+    # written, so that the join below is free to split a common window among tasks
+    often = materialize(each.groupBy("words").agg(F.sum("n").alias("seen")).filter("seen > 1").select("words"), "often")
     found = each.join(often, "words", "left_semi").select("sa", "sb", "begin")
     places = stretches.select(sa.alias("sa"), sb.alias("sb"), "ka", "kb", "pos").join(found, ["sa", "sb"])
     return places.select("ka", "kb", (F.col("pos") + F.col("begin")).alias("pos"), (F.col("pos") + F.col("begin") + window).alias("stop"))
@@ -263,7 +264,7 @@ def _crowded(stretches: DataFrame, window: int) -> DataFrame:
 def _spans(docs: DataFrame, window: int, gram: int, held: int, crowded: int) -> DataFrame:
     """(ka, kb, spans): the duplicate spans of each text of docs (ka, kb, text) that has any, as first and end words."""
     docs = docs.filter(F.length("text") >= 2 * window - 1)
-    places = _anchors(docs, window, gram)
+    places = materialize(_anchors(docs, window, gram), "places")
     often = places.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
     lists = places.join(often, "anchor", "left_semi").groupBy("ka").agg(F.collect_set("anchor").alias("anchors"))
     stretches = materialize(_stretches(docs.join(lists, "ka"), window, gram), "stretches", "zstd")
