@@ -105,8 +105,10 @@ def fit_languages(docs: DataFrame, most_per_language: int = MOST_PER_LANGUAGE) -
         return fit(pa.array([], pa.string()), [])
     share = min(float(most_per_language), MOST / languages)
     draw = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)
-    drawn = usable.join(counts, "lang").filter(draw < share / F.col("count"))
-    got = drawn.select("doc_id", "text", "lang").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
+    # drawn by keys alone; about MOST of them at most are broadcast, and of rows of one doc_id and lang one is taken
+    drawn = usable.select("doc_id", "lang").join(counts, "lang").filter(draw < share / F.col("count")).select("doc_id", "lang").distinct()
+    one = usable.join(F.broadcast(drawn), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x"))
+    got = one.select("doc_id", "x.text", "lang").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
     return fit(got.column("text").combine_chunks() if got.num_rows else pa.array([], pa.string()), got.column("lang").to_pylist())
 
 
