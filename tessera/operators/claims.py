@@ -68,13 +68,18 @@ def score_observations(obs: DataFrame, group: tuple[str, ...] = GROUP) -> DataFr
 
 
 def decide(scored: DataFrame, group: tuple[str, ...] = GROUP) -> DataFrame:
-    """AGG-01..07, PRED-17: a row a group: support and refute (thousandths), gates, disposition, band, freshness, systems and ids."""
+    """AGG-01..07, PRED-17: a row a group: support and refute (thousandths), the greatest authority, evidence and freshness, gates,
+    disposition, band, mismatch (null where there is none) and rationale, freshness posture, systems and ids.
+
+    Evidence that is stale and has no fresh support beside it makes the posture stale, whatever else is fresh.
+    """
     pol, fresh, sub, cls = F.col("polarity"), F.col("freshness"), F.col("subsystem"), F.col("claim_class")
     need = required_authority(cls)
     yes, no = pol == "supports", pol == "refutes"
     any_ = lambda c, name: F.coalesce(F.bool_or(c), F.lit(False)).alias(name)
     facts = scored.groupBy(*group).agg(
         F.sum(F.when(yes, F.col("milli")).otherwise(0)).alias("support"), F.sum(F.when(no, F.col("milli")).otherwise(0)).alias("refute"), F.count("*").alias("n"),
+        *[F.greatest(F.lit(0.0), F.max(c)).alias(name) for c, name in ((F.col("authority"), "authority_score"), (F.col("strength"), "evidence_score"), (lookup(fresh, FRESHNESS, 0.5), "freshness_score"))],
         any_(sub == need, "required_present"), any_((sub == need) & yes, "required_supports"), F.bool_and(pol.isin("unavailable", "not_run")).alias("all_unavailable"),
         any_((cls == "compile_validity") & (sub == "compiler") & no, "compiler_refutes"), any_((cls == "doc_parity") & (sub == "governance") & no, "parity_refutes"),
         any_((cls == "artifact_extraction_ready") & (sub == "artifacts") & (no | (pol == "unavailable")), "artifact_denied"),
@@ -100,28 +105,31 @@ def decide(scored: DataFrame, group: tuple[str, ...] = GROUP) -> DataFrame:
         )
     )
     s, r = F.col("support"), F.col("refute")
-    rung = lambda d, b: F.concat(F.lit(f"{d}/{b}"))
+    number = lambda c: F.format_string("%.3f", c / 1000)
+    rung = lambda d, b, m, *why: F.struct(F.lit(d).alias("disposition"), F.lit(b).alias("band"), (m if isinstance(m, Column) else F.lit(m).cast("string")).alias("mismatch"), F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in why]).alias("rationale"))
+    failed = F.when(cls == "compile_validity", "compile_vs_parse_disagreement").when(cls == "artifact_extraction_ready", "lane_unavailability_conflict").otherwise("rule_conflict")
+    stale_why = "supporting evidence is stale and no fresh support is present"
+    both = ("support (", number(s), ") and refutation (", number(r), ") both exceed dispute threshold")
     ladder = (
-        F.when(target == "", rung("unverifiable", "none"))
-        .when(F.col("all_unavailable"), rung("missing_required_evidence", "none"))
-        .when(fail & (cls == "doc_parity"), rung("policy_mismatch", "high"))
-        .when(fail, rung("contradicted", "high"))
-        .when(stale_only & (cls == "artifact_extraction_ready"), rung("residual_stale_artifact", "medium"))
-        .when(stale_only, rung("stale", "medium"))
-        .when((s > 0) & need.isNotNull() & ~F.col("required_supports"), rung("operator_review_required", "low"))
-        .when((s > 350) & (r > 350) & F.col("strong_yes") & F.col("strong_no"), rung("authority_conflict", "medium"))
-        .when((s > 350) & (r > 350), rung("disputed", "medium"))
-        .when((r >= 550) & (r > s), rung("contradicted", "high"))
-        .when(s >= 780, rung("confirmed", "high"))
-        .when(s >= 600, rung("strong_support", "medium_high"))
-        .when(s >= 420, rung("moderate_support", "medium"))
-        .when(s > 0, rung("operator_review_required", "low"))
-        .otherwise(rung("coverage_gap", "none"))
+        F.when(target == "", rung("unverifiable", "none", "identity_binding_conflict", "identity hard gate could not bind the claim target"))
+        .when(F.col("all_unavailable"), rung("missing_required_evidence", "none", "lane_unavailability_conflict", "no runnable subsystem produced claim evidence"))
+        .when(fail & (cls == "doc_parity"), rung("policy_mismatch", "high", "doc_vs_code_mismatch", "hard gate failed before weighting"))
+        .when(fail, rung("contradicted", "high", failed, "hard gate failed before weighting"))
+        .when(stale_only & (cls == "artifact_extraction_ready"), rung("residual_stale_artifact", "medium", "artifact_vs_repo_staleness", stale_why))
+        .when(stale_only, rung("stale", "medium", "freshness_conflict", stale_why))
+        .when((s > 0) & need.isNotNull() & ~F.col("required_supports"), rung("operator_review_required", "low", "missing_in_verifier", "support exists, but the claim-critical authority is missing"))
+        .when((s > 350) & (r > 350) & F.col("strong_yes") & F.col("strong_no"), rung("authority_conflict", "medium", "rule_conflict", *both))
+        .when((s > 350) & (r > 350), rung("disputed", "medium", "rule_conflict", *both))
+        .when((r >= 550) & (r > s), rung("contradicted", "high", "rule_conflict", "refutation score ", number(r), " exceeds support ", number(s)))
+        .when(s >= 780, rung("confirmed", "high", None, "weighted support ", number(s), " confirms the claim"))
+        .when(s >= 600, rung("strong_support", "medium_high", None, "weighted support ", number(s), " strongly supports the claim"))
+        .when(s >= 420, rung("moderate_support", "medium", None, "weighted support ", number(s), " moderately supports the claim"))
+        .when(s > 0, rung("operator_review_required", "low", "coverage_shortfall", "weighted support ", number(s), " is below disposition threshold"))
+        .otherwise(rung("coverage_gap", "none", "coverage_shortfall", "no supporting evidence reached the scoring threshold"))
     )
-    posture = F.when(F.col("any_fresh"), "fresh").when(F.col("any_historical"), "historical").when(F.col("any_stale"), "stale").otherwise("unknown")
-    out = facts.withColumns({"gates": F.array_join(gates, ","), "__rung": ladder, "freshness_posture": posture})
-    out = out.withColumns({"disposition": F.split_part("__rung", F.lit("/"), F.lit(1)), "band": F.split_part("__rung", F.lit("/"), F.lit(2))})
-    return out.select(*group, "n", "support", "refute", "gates", "disposition", "band", "freshness_posture", "systems", "observation_ids")
+    posture = F.when(F.col("__rung.disposition").isin("stale", "residual_stale_artifact"), "stale").when(F.col("any_fresh"), "fresh").when(F.col("any_historical"), "historical").when(F.col("any_stale"), "stale").otherwise("unknown")
+    out = facts.withColumns({"gates": F.array_join(gates, ","), "__rung": ladder}).withColumn("freshness_posture", posture)
+    return out.select(*group, "n", "support", "refute", "authority_score", "evidence_score", "freshness_score", "gates", "__rung.*", "freshness_posture", "systems", "observation_ids")
 
 
 def file_observations(files: DataFrame) -> DataFrame:
@@ -168,6 +176,7 @@ def find_observations(obs: DataFrame, repository=None, target=None, claim_class=
 
 
 def review(decisions: DataFrame, events: DataFrame) -> DataFrame:
-    """STM-20: decisions with the state of their last review (decision_id, state, reviewed_at), unreviewed without one."""
-    last = events.groupBy("decision_id").agg(F.max_by("state", "reviewed_at").alias("review_state"))
+    """STM-20: decisions with the state of their last review (decision_id, state, reviewed_at; of several at one time the greatest), unreviewed
+    without one."""
+    last = events.groupBy("decision_id").agg(F.max(F.struct("reviewed_at", "state"))["state"].alias("review_state"))
     return decisions.join(last, "decision_id", "left").withColumn("review_state", F.coalesce("review_state", F.lit("unreviewed")))

@@ -140,21 +140,29 @@ def detect_changes(stored: DataFrame, seen: DataFrame, targets: list[str] | None
     return out if not targets else out.filter("change <> 'deleted'").unionByName(in_targets(out.filter("change = 'deleted'"), targets))
 
 
-def merge_files(stored: DataFrame, seen: DataFrame, scan: Column) -> DataFrame:
+def merge_files(stored: DataFrame, seen: DataFrame, scan: Column, whole: bool = True) -> DataFrame:
     """STM-02, STM-03, STM-05: the file table after a scan: (path, sha256, status, first_scan, changed_scan, seen_scan).
 
-    An unchanged hash only moves seen_scan; a gone path keeps a row without hash, status deleted.
+    An unchanged hash only moves seen_scan; a gone path keeps a row without hash, status deleted. Where seen is only part
+    of a scan (whole=False), paths outside it stay as they are.
     """
     old = stored.select("path", *[F.col(c).alias(f"__{c}") for c in ("sha256", "status", "first_scan", "changed_scan", "seen_scan")], F.lit(True).alias("__stored"))
     new = seen.select("path", F.col("sha256").alias("__new"), F.col("status").alias("__new_status"), F.lit(True).alias("__seen"))
     j = old.join(new, "path", "full")
     here, same = F.col("__seen").isNotNull(), F.coalesce(F.col("__sha256") == F.col("__new"), F.lit(False))
+    gone = (lambda c, x: F.lit(x)) if whole else (lambda c, x: F.col(c))
     return j.select(
-        "path", F.when(here, F.col("__new")).alias("sha256"), F.when(here, F.col("__new_status")).otherwise("deleted").alias("status"), F.coalesce("__first_scan", scan).alias("first_scan"),
-        F.when(here & same, F.col("__changed_scan")).when(~here & (F.col("__status") == "deleted"), F.col("__changed_scan")).otherwise(scan).alias("changed_scan"), F.when(here, scan).otherwise(F.col("__seen_scan")).alias("seen_scan"),
+        "path", F.when(here, F.col("__new")).otherwise(gone("__sha256", None)).alias("sha256"), F.when(here, F.col("__new_status")).otherwise(gone("__status", "deleted")).alias("status"), F.coalesce("__first_scan", scan).alias("first_scan"),
+        F.when(here & same, F.col("__changed_scan")).when(~here & (F.lit(not whole) | (F.col("__status") == "deleted")), F.col("__changed_scan")).otherwise(scan).alias("changed_scan"), F.when(here, scan).otherwise(F.col("__seen_scan")).alias("seen_scan"),
     )
 
 
+def end_scan(stored: DataFrame, scan: Column) -> DataFrame:
+    """STM-05: the file table once a scan has ended: what it has not seen becomes deleted, without hash."""
+    gone = (F.col("seen_scan") < scan) & (F.col("status") != "deleted")
+    return stored.withColumns({"sha256": F.when(~gone, F.col("sha256")), "status": F.when(gone, "deleted").otherwise(F.col("status")), "changed_scan": F.when(gone, scan).otherwise(F.col("changed_scan"))})
+
+
 def search_symbols(symbols_: DataFrame, files: DataFrame, part: str) -> DataFrame:
     """PRED-15, JOIN-01, WIN-17: symbols whose name is like %part%, any case, with their file's path; % and _ in part stay wildcards."""
     hit = symbols_.filter(F.col("name").ilike(f"%{part}%"))
@@ -170,9 +178,9 @@ def query_files(files: DataFrame, lang: str | None = None, status: str | None =
 
 
 def upsert_entities(seen: DataFrame, key: str) -> DataFrame:
-    """STM-04: a row a key: first_seen kept, last_seen moved, the last non-null of each other column."""
+    """STM-04: a row a key: first_seen kept, last_seen moved, the last non-null of each other column (of several at one time the greatest)."""
     rest = [c for c in seen.columns if c not in (key, "seen_at")]
-    return seen.groupBy(key).agg(F.min("seen_at").alias("first_seen"), F.max("seen_at").alias("last_seen"), *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seen_at"))).alias(c) for c in rest])
+    return seen.groupBy(key).agg(F.min("seen_at").alias("first_seen"), F.max("seen_at").alias("last_seen"), *[F.max(F.when(F.col(c).isNotNull(), F.struct(F.col("seen_at"), F.col(c).alias("v"))))["v"].alias(c) for c in rest])
 
 
 def scan_totals(files: DataFrame) -> DataFrame:

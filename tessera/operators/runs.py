@@ -27,21 +27,23 @@ def concurrency(requested: Column, configured: int = DEFAULT_WORKERS, hard: int
 
 
 def judge_receipts(shards: DataFrame, receipts: DataFrame, valid: Column | None = None) -> DataFrame:
-    """JOIN-08, WIN-09, PRED-20, STM-13: receipts with reason, null where accepted.
+    """JOIN-08, WIN-09, PRED-20, STM-13: receipts with reason, null where accepted, and shard_run, the run that planned the shard.
 
     shards: run_id, shard_id, digest. receipts: run_id (of the run they say), shard_id, seq, state, before, after. The
     first failing rule decides: schema_invalid, run_id_mismatch, shard_id_mismatch, duplicate_shard (an accepted one
-    came before), source_fingerprint_mismatch. A stale receipt must differ from the shard's digest, any other agree.
+    came before), source_fingerprint_mismatch. A run that no plan has is a mismatch whatever the shard; so is one that is
+    not the shard's. A stale receipt must differ from the shard's digest, any other agree.
     """
     known = shards.select(F.col("run_id").alias("__run"), F.col("shard_id").alias("__shard"), F.col("digest").alias("__digest"))
-    j = receipts.join(known, F.col("shard_id") == F.col("__shard"), "left")
+    runs = shards.select(F.col("run_id").alias("__plan")).distinct()
+    j = receipts.join(runs, F.col("run_id") == F.col("__plan"), "left").join(known, F.col("shard_id") == F.col("__shard"), "left")
     agree = (F.col("before") == F.col("__digest")) & (F.col("after") == F.col("__digest"))
     fits = F.coalesce(F.when(F.col("state") == "stale", ~agree).otherwise(agree), F.lit(False))
-    early = F.when(~F.coalesce(valid, F.lit(True)) if valid is not None else F.lit(False), "schema_invalid").when(F.col("__shard").isNull(), "shard_id_mismatch").when(~F.col("run_id").eqNullSafe(F.col("__run")), "run_id_mismatch")
+    early = F.when(~F.coalesce(valid, F.lit(True)) if valid is not None else F.lit(False), "schema_invalid").when(F.col("__plan").isNull(), "run_id_mismatch").when(F.col("__shard").isNull(), "shard_id_mismatch").when(~F.col("run_id").eqNullSafe(F.col("__run")), "run_id_mismatch")
     j = j.withColumn("__early", early).withColumn("__fits", F.col("__early").isNull() & fits)
     seen = F.coalesce(F.max("__fits").over(Window.partitionBy("shard_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
     reason = F.coalesce(F.col("__early"), F.when(seen, "duplicate_shard").when(~F.col("__fits"), "source_fingerprint_mismatch"))
-    return j.withColumn("reason", reason).drop("__run", "__shard", "__digest", "__early", "__fits")
+    return j.withColumn("reason", reason).withColumnRenamed("__run", "shard_run").drop("__plan", "__shard", "__digest", "__early", "__fits")
 
 
 def missing_shards(shards: DataFrame, judged: DataFrame) -> DataFrame:
@@ -63,7 +65,7 @@ def reconcile(shards: DataFrame, judged: DataFrame) -> DataFrame:
     expected = shards.groupBy("run_id").agg(F.count("*").alias("expected"))
     ok = F.col("reason").isNull()
     n = lambda c, name: F.count_if(c).alias(name)
-    got = judged.join(shards.select("shard_id", F.col("run_id").alias("__run")), "shard_id", "left").withColumn("run_id", F.coalesce("__run", "run_id"))
+    got = judged.withColumn("run_id", F.coalesce("shard_run", "run_id"))
     per = got.groupBy("run_id").agg(
         n(ok & (F.col("state") == "complete"), "completed"), n(ok & F.col("state").isin("failed", "denied", "timed_out"), "failed"), n(ok & (F.col("state") == "stale"), "stale"),
         n(ok & (F.col("state") == "cancelled"), "cancelled"), n(~ok, "rejected"), F.count_distinct(F.when(ok, F.col("shard_id"))).alias("accepted"),
@@ -77,10 +79,11 @@ def reconcile(shards: DataFrame, judged: DataFrame) -> DataFrame:
 def cache_lookup(shards: DataFrame, cache: DataFrame, now: Column, identity: tuple[str, ...] = ("digest", "worker")) -> DataFrame:
     """JOIN-13, STR-15, STR-27, UDF-26: shards with hit and receipt_hash: a live record equal in key and identity.
 
-    A record is live if ready, not invalidated, and younger than its days at `now`. Of several the newest counts.
+    A record is live if ready, not invalidated, and younger than its days at `now`. Of several the newest counts, of those
+    the one with the greatest hash.
     """
     live = cache.filter((F.col("cache_state") == "ready") & F.col("invalidated_at").isNull() & (F.col("created_at") + F.make_interval(days=F.lit(CACHE_TTL_DAYS)) > now))
-    best = live.groupBy(*identity).agg(F.max_by("receipt_hash", "created_at").alias("receipt_hash"))
+    best = live.groupBy(*identity).agg(F.max(F.struct("created_at", "receipt_hash"))["receipt_hash"].alias("receipt_hash"))
     return shards.join(best, list(identity), "left").withColumn("hit", F.col("receipt_hash").isNotNull())
 
 

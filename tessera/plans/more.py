@@ -13,23 +13,25 @@ from .queries import _OBS, _observations, _t, query
 
 
 @query("""
-    with d as (select doc_id, string_split(text, chr(10)) as ls from documents where doc_id % 4 = 0),
+    with d as (select doc_id, string_split(text, chr(10)) as ls from documents),
     l as (select doc_id, unnest(ls) as line, unnest(range(0, len(ls))) as k from d)
     select doc_id, (row_number() over (partition by doc_id order by k))::bigint as nth, sha256(trim(line)) as text_sha256, (k // 3 + 1)::bigint as page from l where trim(line) <> ''""")
 def page_blocks(spark, sf_dir):
     """Three lines a page, each a block of its own."""
     cut = F.array_join(F.transform(F.split("text", "\n", -1), lambda x, i: F.concat(F.when((i % 3 == 0) & (i > 0), "\f").otherwise(""), x, F.lit("\n\n"))), "")
-    b = _t(spark, sf_dir, "documents").filter("doc_id % 4 = 0").select("doc_id", F.posexplode(extraction.page_blocks(cut)).alias("k", "b"))
+    b = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(extraction.page_blocks(cut)).alias("k", "b"))
     return b.select("doc_id", (F.col("k") + 1).cast("long").alias("nth"), F.sha2("b.text", 256).alias("text_sha256"), F.col("b.page").cast("long").alias("page"))
 
 
 @query("""
-    with f as (select doc_id, list_filter(string_split(regexp_replace(text, '[{}\\\\]', '', 'g'), chr(10)), lambda x: trim(x) <> '') as ls from documents where doc_id % 3 = 0 and regexp_full_match(text, '[ -~\\n]*'))
-    select doc_id, unnest(range(0, len(ls)))::bigint as pos, sha256(trim(regexp_replace(unnest(ls), '\\s+', ' ', 'g'))) as text_sha256 from f""")
+    with f as (select doc_id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '[{}\\\\\\x00-\\x08\\x0B-\\x1F]', '', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[\\s\\x{A0}\\x{85}]+', ' ', 'g'))), lambda x: x <> '') as ls from documents)
+    select doc_id, unnest(range(0, len(ls)))::bigint as pos, sha256(unnest(ls)) as text_sha256 from f""")
 def rtf_blocks(spark, sf_dir):
-    plain = _t(spark, sf_dir, "documents").filter("doc_id % 3 = 0").filter(F.col("text").rlike("^[ -~\n]*$"))
-    body = F.regexp_replace(F.regexp_replace("text", "[{}\\\\]", ""), "\n", "\\\\par ")
-    files = plain.select(F.col("doc_id").cast("string").alias("path"), F.lit("rtf_text").alias("lane"), F.encode(F.concat(F.lit("{\\rtf1{\\fonttbl{\\f0 A;}}"), body, F.lit("\\par}")), "UTF-8").alias("content"))
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), "[{}\\\\\\x00-\\x08\\x0B-\\x1F]", "")
+    units = lambda c: F.regexp_replace(F.hex(F.encode(c, "UTF-16BE")), "(....)", "$1 ")
+    escaped = lambda c: F.array_join(F.transform(F.filter(F.split(units(c), " "), lambda x: x != ""), lambda x: F.concat(F.lit("\\u"), F.conv(x, 16, 10), F.lit("?"))), "")
+    body = F.replace(F.array_join(F.transform(F.split(plain, ""), lambda c: F.when(F.octet_length(c) > 1, escaped(c)).otherwise(c)), ""), F.lit("\n"), F.lit("\\par "))
+    files = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.lit("rtf_text").alias("lane"), F.encode(F.concat(F.lit("{\\rtf1{\\fonttbl{\\f0 A;}}"), body, F.lit("\\par}")), "UTF-8").alias("content"))
     b = container_blocks(files).select("path", F.explode("blocks").alias("b"))
     return b.select(F.col("path").cast("long").alias("doc_id"), F.col("b.pos").cast("long").alias("pos"), F.sha2("b.text", 256).alias("text_sha256"))
 
@@ -91,19 +93,17 @@ def run_statuses(spark, sf_dir):
     return out.select("run_id", "mode", F.array_join("reasons", ",").alias("reasons"), F.array_join("controls", ",").alias("controls"), "label")
 
 
-@query("""select o_orderkey as decision_id, coalesce(string_agg(l_returnflag || ':' || l_linestatus, ',' order by l_partkey, l_suppkey, l_returnflag, l_linestatus), '') as gates from orders left join (select * from lineitem where l_quantity > 40) on l_orderkey = o_orderkey
-    where o_orderkey not in (select l_orderkey from lineitem where l_quantity > 40 group by l_orderkey, l_partkey having count(*) > 1) group by o_orderkey""")
+@query("""select o_orderkey as decision_id, coalesce(string_agg(l_returnflag || ':' || l_linestatus, ',' order by l_partkey, l_returnflag, l_linestatus), '') as gates from orders left join lineitem on l_orderkey = o_orderkey group by o_orderkey""")
 def decisions_with_gates(spark, sf_dir):
-    li = _t(spark, sf_dir, "lineitem").filter("l_quantity > 40")
-    tied = li.groupBy("l_orderkey", "l_partkey").count().filter("count > 1").select(F.col("l_orderkey").alias("decision_id")).distinct()
+    li = _t(spark, sf_dir, "lineitem")
     gates = li.select(F.col("l_orderkey").alias("decision_id"), F.col("l_partkey").alias("gate_id"), F.col("l_returnflag").alias("name"), F.col("l_linestatus").alias("status"))
-    d = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("decision_id")).join(tied, "decision_id", "left_anti")
+    d = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("decision_id"))
     return index.with_gates(d, gates).select("decision_id", F.array_join(F.transform("gates", lambda g: F.concat_ws(":", g["name"], g["status"])), ",").alias("gates"))
 
 
-@query("select l_orderkey as file_id, 'p' || l_orderkey as path, l_linenumber::bigint as line from lineitem where l_suppkey % 7 = 3 and l_orderkey % 10 = 0")
+@query("select l_orderkey as file_id, 'p' || l_orderkey as path, l_linenumber::bigint as line from lineitem where l_suppkey % 7 = 3")
 def scan_edges(spark, sf_dir):
-    files = _t(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("file_id"), F.concat(F.lit("p"), F.col("o_orderkey").cast("string")).alias("path"))
+    files = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file_id"), F.concat(F.lit("p"), F.col("o_orderkey").cast("string")).alias("path"))
     facts = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file_id"), (F.col("l_suppkey") % 7).alias("scan_id"), F.col("l_linenumber").cast("long").alias("line"))
     return index.scan_facts(files, facts, ["line"], 3).select("file_id", "path", "line")
 
@@ -159,13 +159,11 @@ def find_observations(spark, sf_dir):
     return claims.find_observations(o, repository=3, subsystem="crawler", since=500).select("observation_id", "target", "claim_class")
 
 
-@query("select o_orderkey as decision_id, coalesce(st, 'unreviewed') as review_state from orders left join (select l_orderkey, arg_max(l_returnflag, l_partkey * 100000 + l_suppkey * 10 + l_linenumber) as st from lineitem where l_quantity > 45 and l_orderkey not in (select l_orderkey from lineitem where l_quantity > 45 group by all having count(distinct (l_partkey, l_suppkey, l_linenumber)) < count(*)) group by l_orderkey) on l_orderkey = o_orderkey where o_orderkey not in (select l_orderkey from lineitem where l_quantity > 45 group by all having count(distinct (l_partkey, l_suppkey, l_linenumber)) < count(*))")
+@query("""select o_orderkey as decision_id, coalesce(st, 'unreviewed') as review_state from orders
+    left join (select l_orderkey, (max({'t': l_partkey // 10, 's': l_returnflag})).s as st from lineitem group by l_orderkey) on l_orderkey = o_orderkey""")
 def reviewed_decisions(spark, sf_dir):
-    li = _t(spark, sf_dir, "lineitem").filter("l_quantity > 45")
-    ev = li.select(F.col("l_orderkey").alias("decision_id"), F.col("l_returnflag").alias("state"), (F.col("l_partkey") * 100000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("reviewed_at"))
-    tied = ev.groupBy("decision_id").agg((F.count_distinct("reviewed_at") < F.count("*")).alias("t")).filter("t").select("decision_id")
-    d = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("decision_id")).join(tied, "decision_id", "left_anti")
-    return claims.review(d, ev)
+    ev = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("decision_id"), F.col("l_returnflag").alias("state"), F.floor(F.col("l_partkey") / 10).alias("reviewed_at"))
+    return claims.review(_t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("decision_id")), ev)
 
 
 @query("""

@@ -201,7 +201,7 @@ _RECEIPTS = """
         case when l_returnflag = 'R' then 'stale' when l_linestatus = 'O' then 'complete' when l_returnflag = 'A' then 'failed' else 'cancelled' end as state,
         l_orderkey % 1000 as before, l_orderkey % 1000 + case when l_suppkey % 5 = 0 then 1 else 0 end as after, l_shipdate as started_at, l_shipdate + interval 1 day as completed_at, cast(l_quantity as bigint) as duration_ms
         from lineitem join orders on l_orderkey = o_orderkey),
-    ea as (select rc.*, case when l_partkey % 13 = 0 then 'schema_invalid' when sh.shard_id is null then 'shard_id_mismatch' when rc.run_id <> sh.run_id then 'run_id_mismatch' end as early,
+    ea as (select rc.*, case when l_partkey % 13 = 0 then 'schema_invalid' when rc.run_id not in (select run_id from sh) then 'run_id_mismatch' when sh.shard_id is null then 'shard_id_mismatch' when rc.run_id <> sh.run_id then 'run_id_mismatch' end as early,
         case when state = 'stale' then not (before = digest and after = digest) else before = digest and after = digest end as fits
         from rc left join sh using (shard_id)),
     ju as (select *, coalesce(early, case when exists_before then 'duplicate_shard' when not fits then 'source_fingerprint_mismatch' end) as reason from (
@@ -241,15 +241,13 @@ def run_states(spark, sf_dir):
 
 @query("""
     with c as (select sha256(text) as digest, lang as worker, 'r-' || doc_id as receipt_hash, case when doc_id % 5 = 0 then 'invalidated' else 'ready' end as st, timestamp '2024-01-31' - doc_id % 60 * interval 1 day as made from documents where doc_id % 3 = 0),
-    live as (select digest, worker, arg_max(receipt_hash, made) as receipt_hash from c where st = 'ready' and made + interval 30 day > timestamp '2024-01-31' group by all having count(distinct made) = count(*))
-    select doc_id, l.receipt_hash is not null as hit, l.receipt_hash from documents d left join live l on sha256(d.text) = l.digest and d.lang = l.worker
-    where (sha256(d.text), d.lang) not in (select (digest, worker) from c group by all having count(distinct made) <> count(*))""")
+    live as (select digest, worker, (max({'m': made, 'r': receipt_hash})).r as receipt_hash from c where st = 'ready' and made + interval 30 day > timestamp '2024-01-31' group by digest, worker)
+    select doc_id, l.receipt_hash is not null as hit, l.receipt_hash from documents d left join live l on sha256(d.text) = l.digest and d.lang = l.worker""")
 def cache_lookup(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"), F.col("lang").alias("worker"))
     now = F.to_timestamp(F.lit("2024-01-31"))
     c = d.filter("doc_id % 3 = 0").select("digest", "worker", F.concat(F.lit("r-"), F.col("doc_id").cast("string")).alias("receipt_hash"), F.when(F.col("doc_id") % 5 == 0, "invalidated").otherwise("ready").alias("cache_state"), F.lit(None).cast("timestamp").alias("invalidated_at"), (now - F.make_interval(days=(F.col("doc_id") % 60).cast("int"))).alias("created_at"))
-    tied = c.groupBy("digest", "worker").agg((F.count_distinct("created_at") != F.count("*")).alias("tied")).filter("tied").drop("tied")
-    return runs.cache_lookup(d.join(tied, ["digest", "worker"], "left_anti"), c, now).select("doc_id", "hit", "receipt_hash")
+    return runs.cache_lookup(d, c, now).select("doc_id", "hit", "receipt_hash")
 
 
 @query("""
@@ -353,28 +351,26 @@ def symbol_search(spark, sf_dir):
 
 
 @query("""
-    with recursive e as (select p_partkey as source, (p_partkey * 7 + 3) % 500 as target from part where p_partkey < 500 union select p_partkey, p_partkey // 2 from part where p_partkey < 500),
-    c(root, path, depth) as (select p_partkey, p_partkey, 0 from part where p_partkey % 50 = 1 and p_partkey < 500 union select root, target, depth + 1 from c join e on c.path = e.source where depth < 8),
+    with recursive e as (select p_partkey as source, (p_partkey * 7 + 3) % 500 as target from part union select p_partkey, p_partkey // 2 from part),
+    c(root, path, depth) as (select p_partkey, p_partkey, 0 from part union select root, target, depth + 1 from c join e on c.path = e.source where depth < 8),
     m as (select root, path, min(depth) as depth from c group by root, path), r as (select *, row_number() over (partition by root order by depth, path) as k from m)
     select root, path, depth::bigint as depth from r where k <= 32""")
 def include_closure(spark, sf_dir):
-    p = _t(spark, sf_dir, "part").filter("p_partkey < 500").select("p_partkey")
+    p = _t(spark, sf_dir, "part").select("p_partkey")
     e = p.select(F.col("p_partkey").alias("source"), ((F.col("p_partkey") * 7 + 3) % 500).alias("target")).union(p.select("p_partkey", F.floor(F.col("p_partkey") / 2))).distinct()
-    return crawl.include_closure(e, p.filter("p_partkey % 50 = 1").select(F.col("p_partkey").alias("path"))).select("root", "path", F.col("depth").cast("long").alias("depth"))
+    return crawl.include_closure(e, p.select(F.col("p_partkey").alias("path"))).select("root", "path", F.col("depth").cast("long").alias("depth"))
 
 
-@query("""select o_custkey as id, min(o_orderdate) as first_seen, max(o_orderdate) as last_seen, arg_max(v, o_orderdate) as state from (select *, case when o_orderkey % 3 <> 0 then o_orderstatus || '-' || o_orderkey end as v from orders) group by o_custkey
-    having count(distinct o_orderdate) = count(*)""")
+@query("""select o_custkey as id, min(o_orderdate) as first_seen, max(o_orderdate) as last_seen, (max({'d': o_orderdate, 'v': v}) filter (v is not null)).v as state from (select *, case when o_orderkey % 3 <> 0 then o_orderstatus || '-' || o_orderkey end as v from orders) group by o_custkey""")
 def entity_upsert(spark, sf_dir):
     o = _t(spark, sf_dir, "orders")
     seen = o.select(F.col("o_custkey").alias("id"), F.col("o_orderdate").alias("seen_at"), F.when(F.col("o_orderkey") % 3 != 0, F.concat_ws("-", "o_orderstatus", F.col("o_orderkey").cast("string"))).alias("state"))
-    clear = seen.groupBy("id").agg((F.count_distinct("seen_at") == F.count("*")).alias("clear")).filter("clear").select("id")
-    return crawl.upsert_entities(seen.join(clear, "id", "left_semi"), "id")
+    return crawl.upsert_entities(seen, "id")
 
 
-@query(f"select page_id, {', '.join(f'regexp_matches(html, {chr(39)}{p}{chr(39)}) as {k}' for k, p in COMPONENT_PATTERNS.items() if k != 'script_instance')} from pages")
+@query(f"select page_id, {', '.join(f'regexp_matches(html, {chr(39)}{p}{chr(39)}) as {k}' for k, p in COMPONENT_PATTERNS.items() if k != 'script_instance')}, len(list_filter(regexp_extract_all(html, '(?i)<script[^>]*>'), lambda x: not regexp_matches(x, '(?i)\\bmodule\\b'))) > 0 as script_instance from pages")
 def component_flags(spark, sf_dir):
-    return _t(spark, sf_dir, "pages").select("page_id", T.component_flags(F.col("html")).alias("f")).select("page_id", "f.*").drop("script_instance")
+    return _t(spark, sf_dir, "pages").select("page_id", T.component_flags(F.col("html")).alias("f")).select("page_id", "f.*")
 
 
 # ---- references
@@ -516,20 +512,26 @@ def claim_scores(spark, sf_dir):
 
 @query(f"""
     with {_OBS},
-    g as (select repository, revision, target, claim_class, count(*) as n, sum(case when polarity = 'supports' then milli else 0 end) as support, sum(case when polarity = 'refutes' then milli else 0 end) as refute, any_value(need) as need,
+    g as (select repository, revision, target, claim_class, count(*) as n, sum(case when polarity = 'supports' then milli else 0 end) as support, sum(case when polarity = 'refutes' then milli else 0 end) as refute, any_value(need) as need, greatest(0.0, max(authority))::double as authority_score, greatest(0.0, max(strength))::double as evidence_score, greatest(0.0, max(fv))::double as freshness_score,
         bool_or(subsystem = need) as rp, coalesce(bool_or(subsystem = need and polarity = 'supports'), false) as rs, bool_and(polarity in ('unavailable', 'not_run')) as au,
         bool_or(claim_class = 'compile_validity' and subsystem = 'compiler' and polarity = 'refutes') as cr, bool_or(claim_class = 'doc_parity' and subsystem = 'governance' and polarity = 'refutes') as dr,
         bool_or(claim_class = 'artifact_extraction_ready' and subsystem = 'artifacts' and polarity in ('refutes', 'unavailable')) as ad, bool_or(polarity = 'supports' and freshness = 'stale') and not bool_or(polarity = 'supports' and freshness = 'fresh') as so,
         bool_or(polarity = 'supports' and authority >= 0.9 and milli > 0) and bool_or(polarity = 'refutes' and authority >= 0.9 and milli > 0) as cf,
         case when bool_or(freshness = 'fresh') then 'fresh' when bool_or(freshness = 'historical') then 'historical' when bool_or(freshness = 'stale') then 'stale' else 'unknown' end as freshness_posture,
         array_to_string(list_sort(list(distinct subsystem)), ',') as systems from mi group by all),
-    d as (select *, case when au then 'missing_required_evidence/none' when (cr or dr or ad) and claim_class = 'doc_parity' then 'policy_mismatch/high' when cr or dr or ad then 'contradicted/high'
-        when so and claim_class = 'artifact_extraction_ready' then 'residual_stale_artifact/medium' when so then 'stale/medium' when support > 0 and need is not null and not rs then 'operator_review_required/low'
-        when support > 350 and refute > 350 and cf then 'authority_conflict/medium' when support > 350 and refute > 350 then 'disputed/medium' when refute >= 550 and refute > support then 'contradicted/high'
-        when support >= 780 then 'confirmed/high' when support >= 600 then 'strong_support/medium_high' when support >= 420 then 'moderate_support/medium' when support > 0 then 'operator_review_required/low' else 'coverage_gap/none' end as r,
+    d as (select *, printf('%.3f', support / 1000.0) as ss, printf('%.3f', refute / 1000.0) as rr,
+        case when au then 'missing_required_evidence/none/lane_unavailability_conflict' when (cr or dr or ad) and claim_class = 'doc_parity' then 'policy_mismatch/high/doc_vs_code_mismatch'
+        when cr or dr or ad then 'contradicted/high/' || case claim_class when 'compile_validity' then 'compile_vs_parse_disagreement' when 'artifact_extraction_ready' then 'lane_unavailability_conflict' else 'rule_conflict' end
+        when so and claim_class = 'artifact_extraction_ready' then 'residual_stale_artifact/medium/artifact_vs_repo_staleness' when so then 'stale/medium/freshness_conflict' when support > 0 and need is not null and not rs then 'operator_review_required/low/missing_in_verifier'
+        when support > 350 and refute > 350 and cf then 'authority_conflict/medium/rule_conflict' when support > 350 and refute > 350 then 'disputed/medium/rule_conflict' when refute >= 550 and refute > support then 'contradicted/high/rule_conflict'
+        when support >= 780 then 'confirmed/high/' when support >= 600 then 'strong_support/medium_high/' when support >= 420 then 'moderate_support/medium/' when support > 0 then 'operator_review_required/low/coverage_shortfall' else 'coverage_gap/none/coverage_shortfall' end as r,
+        case when au then 'no runnable subsystem produced claim evidence' when cr or dr or ad then 'hard gate failed before weighting' when so then 'supporting evidence is stale and no fresh support is present'
+        when support > 0 and need is not null and not rs then 'support exists, but the claim-critical authority is missing' when support > 350 and refute > 350 then 'support (' || ss || ') and refutation (' || rr || ') both exceed dispute threshold'
+        when refute >= 550 and refute > support then 'refutation score ' || rr || ' exceeds support ' || ss when support >= 780 then 'weighted support ' || ss || ' confirms the claim' when support >= 600 then 'weighted support ' || ss || ' strongly supports the claim'
+        when support >= 420 then 'weighted support ' || ss || ' moderately supports the claim' when support > 0 then 'weighted support ' || ss || ' is below disposition threshold' else 'no supporting evidence reached the scoring threshold' end as rationale,
         concat_ws(',', 'identity_binding:gate_pass', case when need is not null then 'required_authority_presence:' || case when rp then 'gate_pass' else 'gate_unverifiable' end end, case when au then 'all_sources_unavailable:gate_unverifiable' end,
             case when cr then 'compiler_truth_refutation:gate_fail' end, case when dr then 'doc_parity_refutation:gate_fail' end, case when ad then 'artifact_denial:gate_fail' end, case when so then 'stale_support_only:gate_conflict' end) as gates from g)
-    select repository, revision, target, claim_class, n::bigint as n, support::bigint as support, refute::bigint as refute, gates, string_split(r, '/')[1] as disposition, string_split(r, '/')[2] as band, freshness_posture, systems from d""")
+    select repository, revision, target, claim_class, n::bigint as n, support::bigint as support, refute::bigint as refute, authority_score, evidence_score, freshness_score, gates, string_split(r, '/')[1] as disposition, string_split(r, '/')[2] as band, nullif(string_split(r, '/')[3], '') as mismatch, rationale, case when so and not au and not cr and not dr and not ad then 'stale' else freshness_posture end as freshness_posture, systems from d""")
 def claim_decisions(spark, sf_dir):
     return claims.decide(claims.score_observations(_observations(spark, sf_dir))).drop("observation_ids")
 

@@ -73,13 +73,21 @@ def enqueue_stream(items: DataFrame, lateness: str = "1 hour") -> DataFrame:
 
 
 def rescan_stream(files: DataFrame, table: str, checkpoint: str):
-    """STM-02: a stream of seen files (path, sha256, status, scan) merged into a Parquet table, one version a batch."""
-    from ..operators.crawl import merge_files
+    """STM-02: a stream of seen files (path, sha256, status, scan) merged into a Parquet table, one version a batch.
+
+    A batch is part of a scan: paths outside it stay. A row without a path says that its scan has ended; then what that scan
+    has not seen becomes deleted. A batch that is run again writes the same version.
+    """
+    from ..operators.crawl import end_scan, merge_files
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         old = spark.read.parquet(f"{table}/v{number - 1}") if number else spark.createDataFrame([], "path string, sha256 string, status string, first_scan long, changed_scan long, seen_scan long")
-        last = batch.groupBy("path").agg(F.max_by("sha256", "scan").alias("sha256"), F.max_by("status", "scan").alias("status"))
-        merge_files(old, last, F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{table}/v{number}")
+        scan, ended = batch.agg(F.max("scan"), F.max(F.when(F.col("path").isNull(), F.col("scan")))).first()
+        last = batch.filter("path is not null").groupBy("path").agg(F.max(F.struct("scan", "sha256", "status")).alias("x")).select("path", "x.sha256", "x.status")
+        now = merge_files(old, last, F.lit(scan).cast("long"), whole=False)
+        if ended is not None:
+            now = end_scan(now, F.lit(ended).cast("long"))
+        now.write.mode("overwrite").parquet(f"{table}/v{number}")
 
     return files.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
