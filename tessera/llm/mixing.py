@@ -15,7 +15,7 @@ from .common import WORD, discard, keys128, materialize, running, spare
 WEIGHTS, CAP = (5, 2, 1), 3
 #: Fixed-point units of a rate: sums of whole numbers don't depend on the order of adding, so reruns agree.
 UNIT = 1_000_000
-BINS = 1 << 16
+BINS = 4096
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
