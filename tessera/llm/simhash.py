@@ -9,6 +9,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -172,15 +173,10 @@ class Layout(NamedTuple):
         """The expected number of entries in which two unrelated texts meet."""
         return self.segments * self.variants**2 / 2.0**self.bits
 
-    @property
-    def sure(self) -> int:
-        """Differing bits up to which a pair is certainly similar: at 0.8 about 15.4 % of the bits differ, and of 384 bits
-        24 are five standard deviations below that."""
-        return self.parts * 4
-
     @property
     def never(self) -> int:
-        """Differing bits beyond which a pair certainly isn't similar, more than four standard deviations above."""
+        """Differing bits beyond which a pair isn't similar: at 0.8 about 15.4 % of the bits differ, and of 384 bits 90 are more than
+        four standard deviations above that."""
         return self.parts * 15
 
 
@@ -253,7 +249,7 @@ def _keys(marks: DataFrame, layout: Layout, *carried: str) -> DataFrame:
 
 def _candidates(marks: DataFrame, layout: Layout) -> DataFrame:
     """(a, b): pairs of one table entry, verified by their whole distance. All texts of an entry are linked to its first, which
-    unites most groups by few pairs; _open_pairs compares what is left apart. The first is a partial aggregate joined
+    makes most families by few pairs; _open_pairs compares what is left apart. The first is a partial aggregate joined
     back, so that an entry with many texts is split among tasks."""
     keys = _keys(marks, layout)
     entries = keys.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -266,11 +262,12 @@ def _candidates(marks: DataFrame, layout: Layout) -> DataFrame:
 
 
 def _open_pairs(marks: DataFrame, layout: Layout) -> DataFrame:
-    """(a, b, sure): pairs of one table entry whose texts have different roots (column root of marks), all with all.
+    """(a, b): pairs within layout.never bits of one table entry whose texts have different roots (column root of marks), as many as
+    unite what all unite.
 
     An entry whose texts have one root is settled. Others are dealt into blocks of about BLOCK texts by hash, and each
-    pair of blocks is compared by whole distance in one place, so no task holds more than two blocks. Sure pairs come as
-    links that unite all of those in the two blocks; pairs up to layout.never bits that these leave apart come one by one.
+    pair of blocks is compared by whole distance in one place, so no task holds more than two blocks, and rows grow with
+    the texts of an entry, not with their pairs.
     """
     names = [f"f{k}" for k in range(layout.parts)]
     keys = _keys(marks, layout, "root")
@@ -282,26 +279,18 @@ def _open_pairs(marks: DataFrame, layout: Layout) -> DataFrame:
     placed = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own").select("key", "i", "j", "own", "id", "root", *names)
 
     def compared(m: np.ndarray) -> np.ndarray:
-        """Rows (a, b, sure) of two blocks' rows (own, id, root, fingerprint)."""
+        """Rows (a, b) of two blocks' rows (own, id, root, fingerprint)."""
         own, ids, root, words = m[:, 0], m[:, 1], m[:, 2], m[:, 3:].view(np.uint64)
         two = np.searchsorted(own, own[-1])  # if blocks differ, only pairs between them: the rest is compared elsewhere
         x, y = (slice(0, two), slice(two, len(m))) if two else (slice(0, len(m)), slice(0, len(m)))
         bits = np.zeros((x.stop - x.start, y.stop - y.start), np.int16)
         for k in range(layout.parts):
             bits += np.bitwise_count(words[x, k][:, None] ^ words[y, k][None, :])
-        bits[root[x][:, None] == root[y][None, :]] = 1 << 14
-        label = np.unique(root, return_inverse=True)[1].reshape(-1)  # united already
-        a, b = np.nonzero(bits <= layout.sure)
+        a, b = np.nonzero((bits <= layout.never) & (root[x][:, None] != root[y][None, :]))
         a, b = a + x.start, b + y.start
-        keep, group = forest(label[a], label[b], int(label.max()) + 1)
-        label = group[label]
-        links = [np.stack([ids[a[keep]], ids[b[keep]], np.ones(len(keep), np.int64)], 1)]
-        a, b = np.nonzero((bits > layout.sure) & (bits <= layout.never) & (label[x][:, None] != label[y][None, :]))
-        a, b = ids[x][a], ids[y][b]
-        links.append(np.stack([a, b, np.zeros(len(a), np.int64)], 1))
-        out = np.concatenate(links)
-        out[:, :2].sort(axis=1)
-        return np.unique(out, axis=0) if two == 0 else out
+        label = np.unique(root, return_inverse=True)[1].reshape(-1)
+        keep, _ = forest(label[a], label[b], int(label.max()) + 1)
+        return np.sort(np.stack([ids[a[keep]], ids[b[keep]]], 1), axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
@@ -309,7 +298,7 @@ def _open_pairs(marks: DataFrame, layout: Layout) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             rows = np.concatenate(found)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, 0])), pa.array(np.ascontiguousarray(rows[:, 1])), pa.array(rows[:, 2] > 0)], ["a", "b", "sure"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(2)], ["a", "b"])
 
         def settle() -> None:
             nonlocal size
@@ -338,49 +327,92 @@ def _open_pairs(marks: DataFrame, layout: Layout) -> DataFrame:
         if size:
             yield out()
 
-    return placed.mapInArrow(run, "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure"))
-
+    return placed.mapInArrow(run, "a long, b long").distinct()
 
-def _similar(docs: DataFrame, marks: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets of five-word shingles have a Jaccard similarity of SIMILARITY or more.
 
-    Only their texts are read again, each from the rows with its least doc_id. Pairs are dealt into cells by hash of both
-    ends, so a set goes once into a cell and not once with each pair; cells have some hundred pairs each.
-    """
+def _sets(docs: DataFrame, marks: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, s), written: the sets of shingles of these texts (column id, distinct). Each is read from the rows with its least doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             sets = [shingle_set(t).view(np.int64) for t in b.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
 
-    def verify(left: pa.Table, right: pa.Table) -> pa.Table:
-        at = {k: n for n, k in enumerate(right.column("id").to_pylist())}
-        chunks = right.column("s").combine_chunks()
-        flat, offs = chunks.values.to_numpy().view(np.uint64), chunks.offsets.to_numpy()
-        a, b = left.column("a").to_pylist(), left.column("b").to_pylist()
-        keep = np.zeros(len(a), bool)
-        for n, (p, q) in enumerate(zip(a, b, strict=True)):
-            x, y = (flat[offs[at[k]] : offs[at[k] + 1]] for k in (p, q))
-            if len(x) > len(y):
-                x, y = y, x
-            if not len(x) or len(x) < SIMILARITY * len(y):
-                keep[n] = len(x) == len(y)
-                continue
-            common = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
-            keep[n] = common >= SIMILARITY * (len(x) + len(y) - common)
-        return left.select(["a", "b"]).filter(pa.array(keep))
-
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     wanted = marks.select("id", "k1", "k2", "k3").join(ids, "id", "left_semi")
     k2, k3 = keys128("text")
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("k1"), k2.alias("k2"), k3.alias("k3"), "text")
     texts = rows.join(wanted, ["k1", "k2", "k3"]).select("id", "text").dropDuplicates(["id"])
-    sets = materialize(texts.mapInArrow(run, "id long, s array<long>"), "shingles")
-    side = max(1, math.isqrt(pairs.count() // 200))
-    cell = lambda c: F.pmod(F.xxhash64(c, F.lit(2)), F.lit(side))
-    dealt = pairs.select((cell("a") * side + cell("b")).alias("cell"), "a", "b")
-    need = dealt.select("cell", F.explode(F.array("a", "b")).alias("id")).distinct().join(sets, "id").select(F.col("cell").alias("at"), "id", "s")
-    return dealt.groupBy("cell").cogroup(need.groupBy("at")).applyInArrow(verify, "a long, b long")
+    return materialize(texts.mapInArrow(run, "id long, s array<long>"), "shingles")
+
+
+def _exact_links(placed: DataFrame) -> DataFrame:
+    """(a, b): links between texts at a Jaccard similarity of SIMILARITY or more, as many as unite what all unite, of texts (family, i, j,
+    own, id, s: its set of shingles) in order of family and pair of blocks. Intersections of sets are products of 0/1 matrices over the
+    shingles that stand in two sets or more."""
+
+    def compared(parted: bool, own: np.ndarray, ids: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+        two = int(np.searchsorted(own, own[-1])) if parted else 0
+        x, y = (slice(0, two), slice(two, len(own))) if parted else (slice(0, len(own)), slice(0, len(own)))
+        if len(own) < 2 or (parted and not two):
+            return np.zeros((0, 2), np.int64)
+        size = np.array(list(map(len, sets)), np.int64)
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+        _, which, seen = np.unique(flat, return_inverse=True, return_counts=True)
+        shared = seen[which] > 1
+        column, owner = (np.cumsum(seen > 1) - 1)[which[shared]], owner[shared]
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        both = np.zeros((x.stop - x.start, y.stop - y.start), np.float32)
+        for k in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            part = slice(*np.searchsorted(column, [k, k + 4096]))
+            ones = np.zeros((len(sets), 4096), np.float32)
+            ones[owner[part], column[part] - k] = 1
+            both += ones[x] @ ones[y].T
+        hit = both >= SIMILARITY * (size[x][:, None] + size[y][None, :] - both.astype(np.float64))
+        a, b = np.nonzero(hit)
+        a, b = a + x.start, b + y.start
+        keep, _ = forest(a, b, len(ids))
+        return np.stack([ids[a[keep]], ids[b[keep]]], 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+
+        def settle() -> pa.RecordBatch:
+            own, ids = (np.concatenate([h[k] for h in held]) for k in range(2))
+            links = compared(now[1] != now[2], own, ids, [s for h in held for s in h[2]])
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(links[:, k])) for k in range(2)], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)], 1)
+            lists = batch.column(5)
+            flat, offs = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+            cut = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]))
+            for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(keys)], strict=True):
+                if held and now != tuple(keys[i].tolist()):
+                    yield settle()
+                    held = []
+                now = tuple(keys[i].tolist())
+                held.append((*(batch.column(k).slice(i, j - i).to_numpy() for k in (3, 4)), [flat[offs[k] : offs[k + 1]].copy() for k in range(i, j)]))
+        if held:
+            yield settle()
+
+    return placed.mapInArrow(run, "a long, b long")
+
+
+def _family_links(docs: DataFrame, marks: DataFrame, families: DataFrame, block: int = BLOCK, shingles: int = 4 << 20) -> DataFrame:
+    """(a, b): links at SIMILARITY or more between the texts of each family (families: id, family), as many as unite what all unite.
+
+    A family is dealt into blocks of about `block` texts and at most about `shingles` shingles by hash, and each pair of
+    blocks is compared exactly in one place. Work grows with the square of a family, rows out with its blocks.
+    """
+    found = _sets(docs, marks, families.select("id")).join(families, "id")
+    need = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(F.size("s")) / shingles)).cast("int")
+    dealt = found.join(found.groupBy("family").agg(need.alias("blocks")), "family").withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = dealt.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "s")
+    return _exact_links(placed.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "own"))
 
 
 def near_copy_groups(docs: DataFrame, layout: Layout | None = None) -> DataFrame:
@@ -388,21 +420,19 @@ def near_copy_groups(docs: DataFrame, layout: Layout | None = None) -> DataFrame
     similarity of five-word shingles of at least SIMILARITY.
 
     Wide fingerprints of the distinct shingles (A-Z in lower case) are cut into segments; each segment's least certain
-    bits are enumerated, table matches are verified by whole distance, and then by the sets themselves. This is done
-    twice: first each entry's texts with its first, which unites most groups by few pairs, then all with all where an
-    entry still holds different groups; there only the links of pairs within layout.sure bits, which unite them, go
-    without a look at the sets. The layout follows from the number of rows. Of pairs at a similarity of 0.8 about 95 %
-    become candidates (simulated), of more similar ones more. Null and blank texts, which have no shingle, are one group;
-    texts of fewer than five words are one shingle.
+    bits are enumerated, and table matches are verified by whole distance: first each entry's texts with its first, then
+    all with all where that leaves an entry's texts apart. What is near enough forms families, in which all texts are
+    compared by their sets; only that decides. The layout follows from the number of rows. Of pairs at a similarity of 0.8
+    about 95 % become candidates by themselves (simulated), of more similar ones more. Null and blank texts, which have no
+    shingle, are one group; texts of fewer than five words are one shingle.
     """
     layout = layout or layout_for(docs.count())
     marks = _wide_marks(docs, layout)
-    links = materialize(_similar(docs, marks, materialize(_candidates(marks, layout), "candidates")), "links")
-    rooted = materialize(_rooted(marks, components(links)), "rooted")
-    more = materialize(_open_pairs(rooted, layout), "more")
-    sure = links.union(more.filter("sure").select("a", "b"))
-    links = sure.union(_similar(docs, marks, _apart(more.filter("not sure"), components(sure))))
-    return _rooted(marks, components(links)).select("id", "k2", "k3", "k1", "root")
+    near = materialize(_candidates(marks, layout), "candidates")
+    rooted = materialize(_rooted(marks, components(near)), "rooted")
+    near = near.union(materialize(_open_pairs(rooted, layout), "more"))
+    families = materialize(components(near).toDF("id", "family"), "families")
+    return _rooted(marks, components(_family_links(docs, marks, families))).select("id", "k2", "k3", "k1", "root")
 
 
 def _rooted(marks: DataFrame, roots: DataFrame) -> DataFrame:
@@ -410,14 +440,6 @@ def _rooted(marks: DataFrame, roots: DataFrame) -> DataFrame:
     return marks.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs (a, b) of different roots, written."""
-    roots = materialize(roots, "sure")
-    named = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    rest = pairs.join(named("a"), "a", "left").join(named("b"), "b", "left")
-    return materialize(rest.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "open")
-
-
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """docs without the near copies: of each group of near_copy_groups one row of its least doc_id stays (null ids last, ties by hash of
     the text; of rows equal in both any one). Other columns are kept, whatever their names; an empty table stays empty."""
