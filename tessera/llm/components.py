@@ -32,16 +32,17 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Large star: each larger neighbour of u goes to the least of u and its neighbours. Small star: u and its smaller neighbours do.
 
-    The least neighbour comes from a partial aggregate and is joined back, so no neighbour list is ever gathered, and
-    AQE can split the join of a hub.
+    The least neighbour comes from a partial aggregate, is written, and is joined back, so no neighbour list is ever
+    gathered, and AQE can split the join of a hub.
     """
     if large:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        least = materialize(least, "least")
         out = both.filter("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
     else:
         down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(down.groupBy("u").agg(F.min("v").alias("m")), "least")
         out = down.join(least, "u").filter("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).union(least.select("m", "u"))
     return out.filter("a <> b").distinct()
 
