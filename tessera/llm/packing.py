@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from .common import extended, materialize, slices, spare
 from .tokens import encoder
 
-#: Pieces of one length that one task ranks, about: a length with more is ranked in so many parts.
-RANKED = 1_000_000
+#: Pieces of one length that one task ranks, about: a length with more is ranked in so many parts. Where that makes more than PARTS
+#: parts of all pieces, parts are larger.
+RANKED, PARTS = 5_000, 200_000
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
@@ -31,7 +32,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 1 << 20):
             ids, lens = enc.encode(b.column("text"), end_id)
             raw = memoryview(ids.astype("<u4", copy=False).tobytes())
             n = -(-lens // capacity)
@@ -134,12 +135,13 @@ def pack_pieces(pieces: DataFrame, capacity: int, ranked: int = RANKED) -> DataF
 
     pieces: materialized rows of cut_pieces(). A piece of the whole capacity is a sequence by itself, numbered below zero
     by its row. Others are ranked within their length, in parts of about `ranked` pieces, so that one common length is
-    shared out among tasks. The driver gets a number for each length and part: capacity + pieces / ranked of them.
+    shared out among tasks. The driver gets a number for each length and part: capacity + PARTS of them at most.
     """
     names = pieces.columns
     salt, base, rank, all_ = spare(pieces, "salt", "base", "rank", "all")
     counts = {int(r[0]): int(r[1]) for r in pieces.groupBy("length").count().collect()}
     whole = counts.pop(capacity, 0)
+    ranked = max(ranked, sum(counts.values()) // PARTS)
     parts = {k: -(-v // ranked) for k, v in counts.items()}
 
     spans: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
@@ -175,7 +177,7 @@ def pack_pieces(pieces: DataFrame, capacity: int, ranked: int = RANKED) -> DataF
     for k, part, n in filled:
         bases.append((k, part, total[k]))
         total[k] += n
-    based = salted.join(F.broadcast(spark.createDataFrame(bases, f"length long, `{salt}` long, `{base}` long")), ["length", salt])  # capacity + pieces / ranked rows
+    based = salted.join(F.broadcast(spark.createDataFrame(bases, f"length long, `{salt}` long, `{base}` long")), ["length", salt])  # at most capacity + PARTS rows
     based = based.withColumn(rank, F.row_number().over(Window.partitionBy("length", salt).orderBy("doc_id", "k2", "piece")).cast("long"))
     out = based.select(*names, base, rank).mapInArrow(run, extended(pieces, sequence_id="long", offset="long"))
     if whole:

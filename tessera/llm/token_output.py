@@ -132,7 +132,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, segment_ids:
             held.clear()
             return out
 
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 1 << 20):
             ids, lens = enc.encode(b.column("text"), end_id)
             held.append((b.column("doc_id").to_pylist(), lens, ids))
             if sum(len(h[2]) for h in held) >= segment_ids:

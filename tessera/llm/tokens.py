@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,6 +25,8 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, most: int = 400_000, most_bytes: int = 16 << 20):
+        # a task has one core: threads of the library's own only cost memory
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok, self.most, self.most_bytes = Tokenizer.from_file(path), most, most_bytes
