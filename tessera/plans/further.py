@@ -45,10 +45,11 @@ def _package(lane: pd.Series, text: pd.Series) -> pd.Series:
 
 @query(f"""
     with d as (select doc_id, ([{", ".join(map(repr, _LANES))}])[doc_id % 3 + 1] as lane, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '[\\x00-\\x08\\x0B-\\x1F]', '', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[\\s\\x{{A0}}\\x{{85}}]+', ' ', 'g'))), lambda x: x <> '') as ls from documents),
-    r as (select doc_id, lane, case when len(ls) = 0 then 'denied' else 'ready' end as state, unnest(case when len(ls) = 0 then [null] else ls end) as t, unnest(range(0, greatest(len(ls), 1))) as pos from d)
+    k as (select doc_id, lane, case when len(list_filter(ls, lambda x: length(x) > 20000)) > 0 then [] else ls end as ls from d),
+    r as (select doc_id, lane, case when len(ls) = 0 then 'denied' else 'ready' end as state, unnest(case when len(ls) = 0 then [null] else ls end) as t, unnest(range(0, greatest(len(ls), 1))) as pos from k)
     select doc_id, lane, state, case when state = 'ready' then pos end::bigint as pos, sha256(t) as text_sha256 from r""")
 def package_blocks(spark, sf_dir):
-    """Each document as DOCX, ODT or EPUB in turn, and its blocks."""
+    """Each document as DOCX, ODT or EPUB in turn, and its blocks; a block above 20 000 characters denies the file."""
     lane = F.element_at(F.array(*map(F.lit, _LANES)), (F.col("doc_id") % 3 + 1).cast("int"))
     plain = F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x00-\\x08\\x0B-\\x1F]", "")
     files = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), lane.alias("lane"), _package(lane, plain).alias("content"))

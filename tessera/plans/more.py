@@ -25,7 +25,7 @@ def page_blocks(spark, sf_dir):
 
 @query("""
     with f as (select doc_id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '[{}\\\\\\x00-\\x08\\x0B-\\x1F]', '', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[\\s\\x{A0}\\x{85}]+', ' ', 'g'))), lambda x: x <> '') as ls from documents)
-    select doc_id, unnest(range(0, len(ls)))::bigint as pos, sha256(unnest(ls)) as text_sha256 from f""")
+    select doc_id, unnest(range(0, len(ls)))::bigint as pos, sha256(unnest(ls)) as text_sha256 from f where len(list_filter(ls, lambda x: length(x) > 20000)) = 0""")
 def rtf_blocks(spark, sf_dir):
     plain = F.regexp_replace(F.coalesce("text", F.lit("")), "[{}\\\\\\x00-\\x08\\x0B-\\x1F]", "")
     units = lambda c: F.regexp_replace(F.hex(F.encode(c, "UTF-16BE")), "(....)", "$1 ")
