@@ -103,7 +103,7 @@ def test_streams_of_items_and_scans(spark, tmp_path):
     q = leases.enqueue_stream(items).writeStream.format("memory").queryName("enq").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r.item_id for r in spark.table("enq").collect()) == ["a", "b"]
-    files = feed("files", "path string, sha256 string, status string, scan long", [[("x", "1", "parsed", 0), ("y", "1", "parsed", 0)], [("x", "1", "parsed", 1), ("z", "2", "parsed", 1)]])
+    files = feed("files", "path string, sha256 string, status string, scan long", [[("x", "1", "parsed", 0), ("y", "1", "parsed", 0)], [("x", "1", "parsed", 1), ("z", "2", "parsed", 1), (None, None, None, 1)]])  # the scan has ended
     leases.rescan_stream(files, str(tmp_path / "t"), str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination(180)
     got = {r.path: (r.status, r.first_scan, r.changed_scan, r.seen_scan) for r in spark.read.parquet(str(tmp_path / "t" / "v1")).collect()}
     assert got == {"x": ("parsed", 0, 0, 1), "y": ("deleted", 0, 1, 0), "z": ("parsed", 1, 1, 1)}

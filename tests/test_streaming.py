@@ -63,3 +63,15 @@ def test_envelopes(spark):
     e = queue.envelope(spark.createDataFrame([('{"a":1}',)], "payload string"))
     assert queue.accept_envelopes(e).first().accepted
     assert queue.accept_envelopes(e.withColumn("payload", F.lit("{}")).withColumn("version", F.lit(2))).first().reasons == ["contract_version", "fingerprint_mismatch"]
+
+
+def test_a_rescan_deletes_only_at_its_end(spark, tmp_path):
+    """A batch is part of a scan: what it does not hold stays, until a row without a path ends the scan."""
+    schema = "path string, sha256 string, status string, scan long"
+    source, table = str(tmp_path / "seen"), str(tmp_path / "table")
+    batches = [[("a", "1", "parsed", 1), ("b", "1", "parsed", 1)], [("a", "2", "parsed", 2)], [(None, None, None, 2)]]
+    want = [{"a": ("1", "parsed"), "b": ("1", "parsed")}, {"a": ("2", "parsed"), "b": ("1", "parsed")}, {"a": ("2", "parsed"), "b": (None, "deleted")}]
+    for n, (batch, rows_) in enumerate(zip(batches, want, strict=True)):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
+        leases.rescan_stream(spark.readStream.schema(schema).parquet(source), table, str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination(60)
+        assert {r.path: (r.sha256, r.status) for r in spark.read.parquet(f"{table}/v{n}").collect()} == rows_
