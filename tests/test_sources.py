@@ -108,6 +108,50 @@ def test_manifests_and_code(spark):
     assert [r.diagnostic for r in facts if r.path == "b.py"] == ["syntax_error"]
 
 
+RUST = """// fn no() {}
+use a::{b,
+  c};
+/* struct /* nested */ Gone; */
+pub struct S<'a, const N: usize> { x: &'a str }
+impl<'a> S<'a> {
+    pub const fn new(c: char) -> Self { let q = '{'; let s = r#"fn not( { "#; S { x: "}" } }
+    fn m(&self, p: *const u8) -> [u8; 3] {
+        fn inner() {}
+    }
+}
+mod t { trait T { fn required(&self); } }
+static mut COUNT: u32 = 1;
+"""
+TS = """import { a,
+  b } from "./x";
+import './side'
+export default class C<T> extends D {
+  private f = () => { return `a ${ {x: `}`}.x } class no {}`; };
+  static async go(x: number = g(1)): Promise<void> { if (x) { run(); } }
+  get v() { return /[/}]{/.test("}") }
+}
+interface I { m(): void }
+type U = string | { a: number };
+export const { p, q } = require("z");
+for (const each of []) { const g = function h() {}; }
+"""
+
+
+def test_lexed_code():
+    found, wrong = code.lexed_facts("rust", RUST)
+    assert wrong is None and found == [
+        ("import", "a::{b, c}", 2, 3), ("struct", "S", 5, 5), ("function", "new", 7, 7), ("function", "m", 8, 10), ("function", "inner", 9, 9),
+        ("module", "t", 12, 12), ("trait", "T", 12, 12), ("static", "COUNT", 13, 13),
+    ]
+    found, wrong = code.lexed_facts("tsx", TS)
+    assert wrong is None and found == [
+        ("import", "./x", 1, 2), ("import", "./side", 3, 3), ("class", "C", 4, 8), ("method", "go", 6, 6), ("method", "v", 7, 7),
+        ("interface", "I", 9, 9), ("type_alias", "U", 10, 10), ("variable", "{ p, q }", 11, 11), ("variable", "g", 12, 12),
+    ]
+    assert code.lexed_facts("js", "interface I {}\nfunction f( {") == ([], "syntax_error")
+    assert code.lexed_facts("js", "") == ([], None)
+
+
 @pytest.mark.parametrize("path,want", [("a/../b", "b"), ("./a//b", "a/b"), ("../a", None), ("/etc", None), ("a/../../b", None)])
 def test_containment(spark, path, want):
     assert spark.createDataFrame([(path,)], "p string").select(crawl.contained(F.col("p")).alias("x")).first().x == want
