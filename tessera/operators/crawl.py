@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from ..functions.text import CODE_NEWLINE, clip, code_heading, let, lines, lookup, shell_function, squeeze, strip
 from ..functions.vocabulary import COMMENT_STARTS, EXCLUDED_DIRS, EXCLUDED_EXTENSIONS, LANGUAGE_OF_EXTENSION, LANGUAGE_OF_NAME, LOCKFILES, MAX_CRAWL_BYTES
 from ..plans.shared import cut
 
+cloudpickle.register_pickle_by_value(sys.modules[__package__.partition(".")[0]])
+
 
 def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
@@ -89,15 +97,21 @@ def file_metrics(lang: Column, text: Column) -> Column:
     return let(lines(text, CODE_NEWLINE), count)
 
 
+@F.pandas_udf(ArrayType(LongType()))
+def _line_starts(text: pd.Series) -> pd.Series:
+    """The byte at which each line of a text begins."""
+    return text.map(lambda t: None if t is None else np.concatenate(([0], np.flatnonzero(np.frombuffer(t.encode(), np.uint8) == 10) + 1)))
+
+
 def line_facts(files: DataFrame) -> DataFrame:
     """STR-41: files exploded to line_no (from 1), line and start_byte: the sum of bytes before, one a line end included.
 
-    Offsets are added up within the row's own array, so nothing is shuffled.
+    Offsets are found in one pass over a text's bytes, by Arrow batches, as a running sum within an array has no linear
+    form in built-in functions; nothing is shuffled.
     """
     ls = F.split("text", "\n", -1)
-    starts = F.aggregate(ls, F.struct(F.array(F.lit(0).cast("long")).alias("at")), lambda a, x: F.struct(F.concat(a["at"], F.array(F.element_at(a["at"], -1) + F.octet_length(x) + 1)).alias("at")), lambda a: a["at"])
     kept = [c for c in files.columns if c != "text"]
-    zipped = files.select(*kept, F.posexplode(F.arrays_zip(ls.alias("line"), F.slice(starts, 1, F.size(ls)).alias("start_byte"))).alias("k", "z"), F.size(ls).alias("n"))
+    zipped = files.select(*kept, F.posexplode(F.arrays_zip(ls.alias("line"), _line_starts("text").alias("start_byte"))).alias("k", "z"), F.size(ls).alias("n"))
     rows = zipped.filter("not (k = n - 1 and z.line = '')")
     return rows.select(*kept, (F.col("k") + 1).alias("line_no"), F.regexp_replace("z.line", "\\r$", "").alias("line"), "z.start_byte")
 

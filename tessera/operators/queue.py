@@ -89,9 +89,21 @@ def totals(items: DataFrame) -> DataFrame:
 
 
 def report(states: DataFrame, episodes_: DataFrame) -> DataFrame:
-    """AGG-17..20: histograms as rows (kind, key, n): of items by status and of episodes by state."""
-    a = states.groupBy(F.lit("item").alias("kind"), F.col("status").alias("key")).agg(F.count("*").alias("n"))
-    return a.unionByName(episodes_.groupBy(F.lit("episode").alias("kind"), F.col("state").alias("key")).agg(F.count("*").alias("n")))
+    """AGG-17..20: totals as rows (kind, key, n, blocking): items by status, claims (an item's last episode) and all episodes by
+    state, and the evidence: completions, failures and reclaims. blocking sums the blocking issues of what is counted.
+
+    states: item_id, status, attempts and optionally blocking, as of item_states; episodes of other items don't count.
+    """
+    own = F.col("blocking").cast("long") if "blocking" in states.columns else F.lit(0).cast("long")
+    items = states.select("item_id", "status", "attempts", F.coalesce(own, F.lit(0)).alias("blocking"))
+    totals_ = [F.count("*").alias("n"), F.sum("blocking").alias("blocking")]
+    a = items.groupBy(F.lit("item").alias("kind"), F.col("status").alias("key")).agg(*totals_)
+    row = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+    state, all_ = F.col("state"), F.lit("all")
+    ends = [F.when(state == s, row(kind, all_)) for s, kind in (("completed", "completion"), ("failed", "failure"), ("reclaimed", "reclaim"))]
+    kinds = F.array_compact(F.array(row("episode", state), F.when(F.col("attempt") == F.col("attempts"), row("claim", state)), *ends))
+    e = episodes_.select("item_id", "attempt", "state").join(items, "item_id").select(F.explode(kinds).alias("x"), "blocking")
+    return a.unionByName(e.groupBy(F.col("x.kind").alias("kind"), F.col("x.key").alias("key")).agg(*totals_))
 
 
 def schema_keys(documents: DataFrame, column: str) -> DataFrame:

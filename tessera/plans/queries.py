@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.vocabulary import AUTHORITY, COMPONENT_PATTERNS, DEFAULT_WEIGHTS, EXCLUDED_DIRS, EXCLUDED_EXTENSIONS, FRESHNESS, HEALTH, LANES, LANGUAGE_OF_EXTENSION, LANGUAGE_OF_NAME, WEIGHTS
 from ..operators import claims, crawl, extraction, queue, references, runs
-from ..operators.sessions import parity, sessions
+from ..operators.sessions import parity, reconciles, sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -590,13 +590,16 @@ def lease_expiry(spark, sf_dir):
 
 
 @query(f"""
-    with {_QUEUE}, i as (select distinct user_id as item_id from events), t as (select item_id, arg_max(state, attempt) as st from ep group by item_id),
-    st as (select case when st in ('completed', 'failed') then st when st = 'active' then 'claimed' else 'queued' end as status from i left join t using (item_id))
-    select 'item' as kind, status as key, count(*)::bigint as n from st group by status union all select 'episode', state, count(*) from ep group by state""")
+    with {_QUEUE}, i as (select distinct user_id as item_id, user_id % 3 as blocking from events), t as (select item_id, max(attempt) as attempts, arg_max(state, attempt) as st from ep group by item_id),
+    st as (select case when st in ('completed', 'failed') then st when st = 'active' then 'claimed' else 'queued' end as status, blocking from i left join t using (item_id)),
+    x as (select state, attempt = attempts as last, blocking from ep join i using (item_id) join t using (item_id)),
+    o(s, k) as (values ('completed', 'completion'), ('failed', 'failure'), ('reclaimed', 'reclaim')),
+    r as (select 'item' as kind, status as key, blocking from st union all select 'episode', state, blocking from x union all select 'claim', state, blocking from x where last union all select k, 'all', blocking from x join o on s = state)
+    select kind, key, count(*)::bigint as n, sum(blocking)::bigint as blocking from r group by kind, key""")
 def queue_report(spark, sf_dir):
     e = _events(spark, sf_dir)
     ep = queue.episodes(e)
-    return queue.report(queue.item_states(e.select("item_id").distinct(), ep), ep)
+    return queue.report(queue.item_states(e.select("item_id", (F.col("item_id") % 3).alias("blocking")).distinct(), ep), ep)
 
 
 @query(f"""
@@ -629,6 +632,15 @@ def watch_sessions(spark, sf_dir):
     return sessions(_t(spark, sf_dir, "events"), "user_id", "ts", 1800, "event_id")
 
 
+@query("""
+    with w as (select user_id, epoch(date_trunc('second', ts))::bigint as tm, event_id from events), f as (select distinct user_id, tm from w),
+    n as (select user_id, tm, coalesce(lead(tm) over (partition by user_id order by tm) - 1, (select max(tm) from w)) as till from f)
+    select user_id, unnest(range(tm + 86400, till + 1, 86400)) as at from n""")
+def watch_reconciles(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("user_id", F.unix_timestamp("ts").alias("at"))
+    return reconciles(e.distinct(), "user_id", "at", 86400, F.lit(e.agg(F.max("at")).first()[0]))
+
+
 @query("""select c_custkey, case when a is null or s is null then 'unavailable' when a >= s then 'supports' else 'refutes' end as polarity from (
     select c_custkey, max(o_orderdate) filter (o_orderstatus = 'F') as a, max(o_orderdate) filter (o_orderstatus = 'O') as s from customer left join orders on o_custkey = c_custkey group by c_custkey)""")
 def doc_parity(spark, sf_dir):

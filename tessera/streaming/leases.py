@@ -62,9 +62,12 @@ def lease_stream(events: DataFrame, timeout_seconds: int, lateness: str = "10 mi
 
 
 def watch_stream(changes: DataFrame, debounce: str = "30 minutes", lateness: str = "1 hour") -> DataFrame:
-    """STM-01: flushes of a watched tree: changes (root, path, ts) without `debounce` of silence between them, and how many paths."""
+    """STM-01: flushes of a watched tree: changes (root, path, ts) without `debounce` of silence between them, their number and the set of dirty paths.
+
+    The set is kept in the session's state and is as large as the flush: a rescan of these paths is what it is for.
+    """
     grouped = changes.withWatermark("ts", lateness).groupBy(F.session_window("ts", debounce).alias("w"), "root")
-    return grouped.agg(F.count("*").alias("changes"), F.approx_count_distinct("path").alias("paths")).select("root", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "changes", "paths")
+    return grouped.agg(F.count("*").alias("changes"), F.sort_array(F.collect_set("path")).alias("dirty")).select("root", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "changes", F.size("dirty").alias("paths"), "dirty")
 
 
 def enqueue_stream(items: DataFrame, lateness: str = "1 hour") -> DataFrame:

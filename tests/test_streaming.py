@@ -3,6 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tessera.operators import queue
+from tessera.operators.sessions import reconciles
 from tessera.streaming import leases
 
 T0 = dt.datetime(2024, 1, 1)
@@ -39,7 +40,23 @@ def test_watch_flushes_after_silence(spark, tmp_path):
     schema = "root string, path string, ts timestamp"
     batches = [[("r", "a", at(0)), ("r", "b", at(600)), ("r", "a", at(5000))], [("r", "z", at(10**6))], [("r", "z", at(10**6 + 1))]]
     got = rows(spark, tmp_path, batches, schema, lambda s: leases.watch_stream(s), "watch")
-    assert sorted((r.changes, r.paths) for r in got) == [(1, 1), (2, 2)]
+    assert sorted((r.changes, r.paths, r.dirty) for r in got) == [(1, 1, ["a"]), (2, 2, ["a", "b"])]
+
+
+def test_full_scans_follow_silence(spark):
+    flushes = spark.createDataFrame([("r", 0), ("r", 25), ("r", 35), ("s", 7)], "root string, at long")
+    got = reconciles(flushes, "root", "at", 10, F.lit(60)).collect()
+    assert sorted((r.root, r.at) for r in got) == [("r", 10), ("r", 20), ("r", 45), ("r", 55), ("s", 17), ("s", 27), ("s", 37), ("s", 47), ("s", 57)]
+
+
+def test_report_sums_blocking_issues(spark):
+    items = spark.createDataFrame([("a", 2), ("b", 3), ("c", None)], "item_id string, blocking int")
+    e = spark.createDataFrame([("a", 1, "reclaimed"), ("a", 2, "completed"), ("b", 1, "failed"), ("z", 1, "failed")], "item_id string, attempt long, state string")
+    got = {(r.kind, r.key): (r.n, r.blocking) for r in queue.report(queue.item_states(items, e), e).collect()}
+    assert got == {
+        ("item", "completed"): (1, 2), ("item", "failed"): (1, 3), ("item", "queued"): (1, 0), ("claim", "completed"): (1, 2), ("claim", "failed"): (1, 3),
+        ("episode", "reclaimed"): (1, 2), ("episode", "completed"): (1, 2), ("episode", "failed"): (1, 3), ("completion", "all"): (1, 2), ("failure", "all"): (1, 3), ("reclaim", "all"): (1, 2),
+    }
 
 
 def test_episodes_in_batch(spark):
