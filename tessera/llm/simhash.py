@@ -106,7 +106,8 @@ def near_pairs(fps: DataFrame, segments: int = SEGMENTS, reach: int = REACH, hot
     crowded = materialize(table.groupBy("s", "value").count().filter(F.col("count") > hot).select("s", "value"), "crowded")
     crowds = not crowded.isEmpty()
     cold = lookups.join(crowded, ["s", "value"], "left_anti") if crowds else lookups
-    met = cold.withColumnRenamed("fp", "a").join(table.withColumnRenamed("fp", "b"), ["s", "value"])
+    # the planner takes exploded rows to be as few as fps' and would gather either side in the driver, to broadcast it
+    met = cold.withColumnRenamed("fp", "a").hint("merge").join(table.withColumnRenamed("fp", "b").hint("merge"), ["s", "value"])
     pairs = met.filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= reach)).select("a", "b").distinct()
     if crowds:
         pairs = pairs.union(_whole_balls(lookups.join(crowded, ["s", "value"], "left_semi").select("fp").distinct(), reach)).distinct()

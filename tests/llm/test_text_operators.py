@@ -208,6 +208,13 @@ def test_simhash_pairs_against_all_pairs(spark, segments, hot):
     assert groups(mine) == groups(parent)
 
 
+def test_simhash_balls_are_not_broadcast(spark):
+    """Exploded rows are many times what the planner takes them for, so that no side of their join may be gathered in the driver."""
+    pairs = simhash.near_pairs(common.materialize(spark.createDataFrame([(f,) for f in range(100)], "fp long"), "fps"))
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def similar_groups(rows):
     """Groups by Jaccard similarity of five-word shingles, all pairs compared."""
     sets = []
