@@ -249,17 +249,35 @@ def _keys(marks: DataFrame, layout: Layout, *carried: str) -> DataFrame:
 
 
 def _candidates(marks: DataFrame, layout: Layout) -> DataFrame:
-    """(a, b): pairs of one table entry, verified by their whole distance. All texts of an entry are linked to its first, which
-    makes most families by few pairs; _open_pairs compares what is left apart. The first is a partial aggregate joined
-    back, so that an entry with many texts is split among tasks."""
+    """(a, b): pairs of one table entry, verified by their whole distance, that unite what all texts of an entry linked to its first
+    unite; _open_pairs compares what is left apart. The first is a partial aggregate joined back, so that an entry with
+    many texts is split among tasks.
+
+    A text of a large family meets other firsts in most of its entries, so it is linked to the least of them alone. Of the
+    other pairs only those are verified that this leaves apart, and one of them stays for each two groups: what goes on
+    has about a row a text, not one for each of its keys.
+    """
     keys = _keys(marks, layout)
     entries = keys.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    pairs = keys.join(entries, "key").filter("a <> id").select("a", F.col("id").alias("b")).distinct()
+    # the planner doesn't know how many keys a text has and would gather them in the driver, to broadcast them
+    met = keys.hint("merge").join(entries.hint("merge"), "key").filter("a <> id").select("a", F.col("id").alias("b")).distinct()
+    pairs = materialize(met, "pairs")
+    least = materialize(_verified(pairs.groupBy("b").agg(F.min("a").alias("a")), marks, layout), "least")
+    roots = materialize(_rooted(marks.select("id"), components(least)), "roots")
+    a_root = pairs.join(roots.select(F.col("id").alias("a"), F.col("root").alias("r")), "a")
+    apart = a_root.join(roots.select(F.col("id").alias("b"), F.col("root").alias("q")), "b").filter("r <> q")
+    near = _verified(apart, marks, layout, "r", "q")
+    bridges = near.groupBy(F.least("r", "q").alias("r"), F.greatest("r", "q").alias("q")).agg(F.min(F.struct("a", "b")).alias("x"))
+    return least.union(bridges.select("x.a", "x.b"))
+
+
+def _verified(pairs: DataFrame, marks: DataFrame, layout: Layout, *carried: str) -> DataFrame:
+    """(a, b, carried columns) of the pairs within layout.never bits."""
     names = [f"f{k}" for k in range(layout.parts)]
     one = marks.select(F.col("id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in names])
     two = marks.select(F.col("id").alias("b"), *names)
     bits = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"a_{c}"))) for c in names), F.lit(0))
-    return pairs.join(one, "a").join(two, "b").filter(bits <= layout.never).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").filter(bits <= layout.never).select("a", "b", *carried)
 
 
 def _open_pairs(marks: DataFrame, layout: Layout) -> DataFrame:
@@ -274,7 +292,7 @@ def _open_pairs(marks: DataFrame, layout: Layout) -> DataFrame:
     keys = _keys(marks, layout, "root")
     mixed = keys.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low <> high")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = keys.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int"))
+    dealt = keys.hint("merge").join(mixed.select("key", blocks.alias("blocks")).hint("merge"), "key").withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int"))
     dealt = dealt.select("key", "id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id").join(marks.select("id", "root", *names), "id")
     placed = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own").select("key", "i", "j", "own", "id", "root", *names)

@@ -294,6 +294,35 @@ def test_candidates_at_the_least_similarity(spark, layout):
     assert sum((2 * k, 2 * k + 1) in found for k in range(400)) >= 360, sum((2 * k, 2 * k + 1) in found for k in range(400))
 
 
+def test_candidates_of_a_family_are_few(spark):
+    """About a pair a text, however many firsts a text meets, that unite what all texts of an entry linked to its first unite."""
+    rng = np.random.default_rng(4)
+    layout, rows = simhash.LAYOUTS[0], []
+    for family, n in enumerate((150, 40, 9)):
+        base = [f"f{family}w{k}" for k in range(200)]
+        for _ in range(n):
+            own = list(base)
+            for k in rng.integers(0, 200, 4):
+                own[k] = f"e{rng.integers(0, 10**9)}"
+            rows.append((len(rows), " ".join(own), None, None, None, None))
+    marks = simhash._wide_marks(docs(spark, rows=rows), layout)
+    words_of_id = {r.id: [r[f"f{k}"] for k in range(layout.parts)] for r in marks.collect()}
+    entries = collections.defaultdict(list)
+    for r in simhash._keys(marks, layout).collect():
+        entries[r.key].append(r.id)
+    near = lambda a, b: sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(words_of_id[a], words_of_id[b], strict=True)) <= layout.never
+    stars = {(min(e), b) for e in entries.values() for b in e if b != min(e) and near(min(e), b)}
+    found = [(r.a, r.b) for r in simhash._candidates(marks, layout).collect()]
+    ids = sorted(words_of_id)
+    roots = []
+    for pairs in (stars, set(found)):
+        a, b = (np.searchsorted(ids, [p[k] for p in pairs]) for k in range(2))
+        label = simhash.forest(a, b, len(ids))[1]
+        roots.append([int(np.flatnonzero(label == x)[0]) for x in label])
+    assert roots[0] == roots[1] and set(found) <= stars
+    assert len(found) <= 2 * len(rows) < len(stars), (len(found), len(stars))
+
+
 def test_layouts_follow_the_count():
     chosen = [simhash.layout_for(n) for n in (0, 10**5, 10**7, 10**8, 10**9, 10**10)]
     assert [x.bits for x in chosen] == sorted(x.bits for x in chosen) and chosen[0] == simhash.LAYOUTS[0] and chosen[-1].bits >= 44
